@@ -1,4 +1,8 @@
-"""Wrappers that run a small per-value helper over Arrow batches."""
+"""Wrappers that run a small per-value helper over Arrow batches.
+
+The functions are declared nondeterministic although they are not: that keeps the
+optimizer from pushing filters on their results below them, which would run them twice.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ def text_udf(fn: Callable[[str], str]):
     def run(col: pd.Series) -> pd.Series:
         return pd.Series([None if v is None else fn(v) for v in col], dtype=object)
 
-    return run
+    return run.asNondeterministic()
 
 
 def struct_udf(fn: Callable[..., tuple], schema: str):
@@ -25,4 +29,4 @@ def struct_udf(fn: Callable[..., tuple], schema: str):
         rows = [fn(*vals) for vals in zip(*cols)]
         return pd.DataFrame(rows, columns=names)
 
-    return run
+    return run.asNondeterministic()

@@ -86,3 +86,30 @@ def delta_groups(df: DataFrame, keys: list[str], value: str, delta: int,
             .join(ends.select(*keys, "_b", "_base"), [*keys, "_b"])
             .withColumn("grp", F.col("_base") + F.col("_run"))
             .drop("_b", "_prev", "_run", "_base"))
+
+
+def interval_groups(df: DataFrame, keys: list[str], start: str, end: str, bucket_width: int,
+                    ) -> DataFrame:
+    """Number the groups of overlapping intervals (ends inclusive) of each key.
+
+    An interval opens a group when it starts behind every earlier end. The farthest
+    earlier end is a running maximum, carried from bucket to bucket.
+    """
+    base = df.withColumn("_b", F.floor(F.col(start) / bucket_width))
+    wi = Window.partitionBy(*keys, "_b").orderBy(start, end)
+    past = wi.rowsBetween(Window.unboundedPreceding, -1)
+    tops = base.groupBy(*keys, "_b").agg(F.max(end).alias("_top"))
+    wb = Window.partitionBy(*keys).orderBy("_b")
+    tops = tops.withColumn("_far", F.max("_top").over(
+        wb.rowsBetween(Window.unboundedPreceding, -1)))
+    base = base.join(tops.select(*keys, "_b", "_far"), [*keys, "_b"])
+    far = F.greatest(F.max(end).over(past), F.col("_far"))
+    base = base.withColumn("_new", F.coalesce((F.col(start) > far).cast("long"), F.lit(0)))
+    count = base.groupBy(*keys, "_b").agg(F.sum("_new").alias("_n"))
+    count = count.withColumn("_base", F.sum("_n").over(
+        wb.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+    inner = F.sum("_new").over(wi.rowsBetween(Window.unboundedPreceding, 0))
+    return (base.withColumn("_run", inner)
+            .join(count.select(*keys, "_b", "_base"), [*keys, "_b"])
+            .withColumn("grp", F.col("_base") + F.col("_run"))
+            .drop("_b", "_far", "_new", "_run", "_base"))
