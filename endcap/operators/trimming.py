@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from endcap.functions.rank import interval_groups
 
 MIN_SPAN = 200
+BUCKET_BP = 1 << 16
 
 
 def overlap_groups(spans: list[list[int]]) -> list[list[list[int]]]:
@@ -55,18 +59,28 @@ def trim_spans(spans: list[list[int]], strategy: str, min_span: int) -> list[lis
 
 def trim_matches(aln: DataFrame, read: str = "read", strategy: str = "mapq",
                  min_span: int = MIN_SPAN) -> DataFrame:
-    """Trim alignments (read, aln_no, read_pos1, read_pos2, mapq) of each read."""
+    """Trim alignments (read, aln_no, read_pos1, read_pos2, mapq) of each read.
+
+    Only overlapping alignments touch each other, so the unit of work is one island of
+    overlaps, not the read; alignments that stand alone never leave the JVM.
+    """
+    cols = ["aln_no", "read_pos1", "read_pos2", "mapq"]
+    base = aln.select(read, F.col("aln_no").cast("long"), F.col("read_pos1").cast("int"),
+                      F.col("read_pos2").cast("int"), F.col("mapq").cast("int"))
+    placed = interval_groups(base, [read], "read_pos1", "read_pos2", BUCKET_BP)
+    islands = placed.groupBy(read, "grp").agg(F.array_sort(F.collect_list(
+        F.struct(*cols))).alias("items"))
+    item = "array<struct<aln_no:long,read_pos1:int,read_pos2:int,mapq:int>>"
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("aln_no")
-        spans = [[int(a), int(b), int(n), int(q)] for a, b, n, q in zip(
-            pdf["read_pos1"], pdf["read_pos2"], pdf["aln_no"], pdf["mapq"])]
-        kept = trim_spans(spans, strategy, min_span)
-        return pd.DataFrame({read: pdf[read].iloc[0], "aln_no": [s[2] for s in kept],
-                             "read_pos1": [s[0] for s in kept],
-                             "read_pos2": [s[1] for s in kept], "mapq": [s[3] for s in kept]})
+    @F.pandas_udf(item)
+    def trim(col: pd.Series) -> pd.Series:
+        out = []
+        for items in col:
+            spans = [[x["read_pos1"], x["read_pos2"], x["aln_no"], x["mapq"]] for x in items]
+            out.append([{"aln_no": n, "read_pos1": a, "read_pos2": b, "mapq": q}
+                        for a, b, n, q in trim_spans(spans, strategy, min_span)])
+        return pd.Series(out)
 
-    types = dict(aln.dtypes)
-    return (aln.select(read, "aln_no", "read_pos1", "read_pos2", "mapq").groupBy(read)
-            .applyInPandas(one, f"{read} {types[read]}, aln_no long, read_pos1 int, "
-                                "read_pos2 int, mapq int"))
+    alone = islands.where(F.size("items") == 1).select(read, F.inline("items"))
+    many = islands.where(F.size("items") > 1).select(read, F.inline(trim("items")))
+    return alone.unionByName(many)
