@@ -30,9 +30,8 @@ def file_format(path: Column) -> Column:
 
 
 def wrapped_lines(seq: Column, width: int = 60) -> Column:
-    """Cut a sequence into lines of a fixed width."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(seq), F.lit(1)), F.lit(width))
-    return F.transform(starts, lambda i: F.substring(seq, i, F.lit(width)))
+    """Cut a sequence into lines of a fixed width, in one pass."""
+    return F.split(F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n"), "\n")
 
 
 # ---- CIGAR / SAM -----------------------------------------------------------

@@ -137,3 +137,19 @@ def write_allele_tsv(heads: DataFrame, reads: DataFrame, path: str, settings: Se
     """Ordered TSV part files with one header each; range-sorted, not pulled to one task."""
     (allele_table(heads, reads, settings).write.mode("overwrite")
      .option("sep", "\t").option("header", True).option("emptyValue", "").csv(path))
+
+
+def write_stats(summary_row: DataFrame, path: str) -> None:
+    """The one-row metrics table as TSV with a header."""
+    summary_row.coalesce(1).write.mode("overwrite").option("sep", "\t").option(
+        "header", True).csv(path)
+
+
+def write_lengths(all_reads: DataFrame, tel_reads: DataFrame, final_reads: DataFrame,
+                  path: str) -> None:
+    """Read lengths of the three stages as one parquet table (series, length)."""
+    parts = [df.select(F.lit(k).alias("series"), F.length("seq").alias("length"))
+             for k, df in (("all", all_reads), ("tel", tel_reads))]
+    final = final_reads.select(F.lit("final").alias("series"), F.col("rlen").alias("length"))
+    parts[0].unionByName(parts[1]).unionByName(final).write.mode("overwrite").partitionBy(
+        "series").parquet(path)

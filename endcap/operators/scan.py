@@ -60,12 +60,17 @@ def dedupe_last(reads: DataFrame, min_len: int, keys: list[str]) -> DataFrame:
 def downsample(reads: DataFrame, limit: int, keys: list[str], seed: int) -> DataFrame:
     """Keep ``limit`` reads per key in a seeded pseudo-random order; limit < 1 keeps all.
 
-    The order is a hash of the name, so it does not depend on partitioning, and the
-    row limit acts on the map side first.
+    The order is a hash of the name, so it does not depend on partitioning. Counts per
+    hash prefix tell which prefixes are kept whole; only reads of one prefix are ever
+    ranked against each other.
     """
     if limit < 1:
         return reads
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("name")))
-    w = Window.partitionBy(*keys).orderBy(order, "ord")
-    return (reads.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit)
-            .drop("_rn"))
+    rows = reads.withColumn("_h", order).withColumn("_p", F.substring("_h", 1, 3))
+    counts = rows.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_n")
+    open_ = counts.select(*keys, "_p", (F.lit(limit) - before).alias("_left")).where("_left > 0")
+    w = Window.partitionBy(*keys, "_p").orderBy("_h", "ord")
+    return (rows.join(open_, [*keys, "_p"]).withColumn("_rn", F.row_number().over(w))
+            .where(F.col("_rn") <= F.col("_left")).select(*reads.columns))
