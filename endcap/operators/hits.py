@@ -25,7 +25,7 @@ BIN = 64
 
 
 def match_starts(seq: str, word: str) -> np.ndarray:
-    return np.fromiter((m.start() for m in re.finditer(word, seq)), dtype=np.int64)
+    return np.array([m.start() for m in re.finditer(word, seq)], dtype=np.int64)
 
 
 def cover(starts: np.ndarray, width: int, size: int) -> np.ndarray:

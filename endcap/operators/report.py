@@ -60,12 +60,11 @@ def summary(heads: DataFrame, reads: DataFrame, settings: Settings) -> DataFrame
         .cast("long").alias(f"fail_reads_{name}")
         for k, name in (("unmapped", "unmapped"), ("short", "maxatl"),
                         ("interstitial", "interstitial"))])
-    # four one-row results side by side
-    key = F.lit(1).alias("_k")
-    out = top.select("*", key)
+    # four one-row results become one row
+    rows = top
     for part in (lens, half, fails):
-        out = out.join(part.select("*", key), "_k")
-    return out.drop("_k")
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 def length_edges(low: float = 1e3, high: float = 1e6, edges: int = 60) -> list[float]:

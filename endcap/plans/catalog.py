@@ -244,7 +244,7 @@ def equal_variants(spark, d):
 
 
 def column_consensus(spark, d):
-    r = spark.read.parquet(f"{d}/documents.parquet")
+    r = planted.table(spark, d, "documents")
     aligned = r.select(
         F.concat_ws("/", "source", "lang").alias("cid"), F.col("doc_id").alias("row_no"),
         F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")),
@@ -319,7 +319,7 @@ def fusion_calls(spark, d):
 
 def match_trimming(spark, d):
     """Trim the items of each order as if they were alignments of one read."""
-    li = spark.read.parquet(f"{d}/lineitem.parquet").select(
+    li = planted.table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("read"),
         F.xxhash64("l_partkey", "l_suppkey", "l_linenumber").alias("aln_no"),
         (F.col("l_partkey") * 3).cast("int").alias("read_pos1"),
@@ -428,7 +428,7 @@ def allele_tsv_rows(spark, d):
 
 
 def time_groups(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select(
+    e = planted.table(spark, d, "events").select(
         "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
     g = delta_groups(e, ["user_id"], "t", 7200, 86400)
     return g.groupBy("user_id", "grp").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"),
@@ -436,7 +436,7 @@ def time_groups(spark, d):
 
 
 def span_groups(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select(
+    e = planted.table(spark, d, "events").select(
         "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"),
         (F.unix_seconds(F.col("ts").cast("timestamp")) + (F.col("value") * 100).cast("long")).alias("e"))
     g = interval_groups(e, ["user_id"], "s", "e", 86400)
