@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from endcap.llm import mixing, packing, secret_scan, sharding
+from endcap.llm import mixing, packing, secret_scan, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_bounded_ring(spark: SparkSession, d: str) -> DataFrame:
                       "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_level_wise_doubling(spark: SparkSession, d: str) -> DataFrame:
+    out = substring_dedup.removed(table(spark, d, "documents"), 13, with_text=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_novelty_secrets(spark: SparkSession, d: str) -> DataFrame:
     return secret_scan.scan(table(spark, d, "documents")).drop("found")
 
@@ -34,5 +39,6 @@ def op10_pivotal_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_bounded_ring,
+                                   op3_level_wise_doubling,
                                    op9_novelty_secrets, op10_pivotal_mixing)}
 ORACLES: dict[str, str] = {}
