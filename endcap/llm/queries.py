@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from endcap.llm import mixing, packing, secret_scan, sharding, substring_dedup
+from endcap.llm import jaccard_join, mixing, packing, secret_scan, sharding, substring_dedup
+from endcap.llm.oracles import ORACLES  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op3_level_wise_doubling(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_chosen_path_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_join.joined(table(spark, d, "documents")).drop("text_hash")
+
+
 def op9_novelty_secrets(spark: SparkSession, d: str) -> DataFrame:
     return secret_scan.scan(table(spark, d, "documents")).drop("found")
 
@@ -39,6 +44,5 @@ def op10_pivotal_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_bounded_ring,
-                                   op3_level_wise_doubling,
+                                   op3_level_wise_doubling, op4_chosen_path_join,
                                    op9_novelty_secrets, op10_pivotal_mixing)}
-ORACLES: dict[str, str] = {}
