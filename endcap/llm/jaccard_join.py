@@ -121,13 +121,15 @@ def _bytes(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
 def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, text_hash, class, number of shingles and sketch of each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s, edges = shingles(b.column(1), words)
-            sk = sketches(s, edges)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), _binary(class_ids(s, edges)),
-                 pa.array(np.diff(edges)), _binary(sk.view(np.uint8).reshape(len(sk), -1))],
-                ["doc_id", "text_hash", "cid", "n", "sketch"])
+        for whole in batches:
+            for lo, hi in wd.slices(whole.column(1)):
+                b = whole.slice(lo, hi - lo)
+                s, edges = shingles(b.column(1), words)
+                sk = sketches(s, edges)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(2), _binary(class_ids(s, edges)),
+                     pa.array(np.diff(edges)), _binary(sk.view(np.uint8).reshape(len(sk), -1))],
+                    ["doc_id", "text_hash", "cid", "n", "sketch"])
 
     slim = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     return slim.mapInArrow(run, "doc_id long, text_hash long, cid binary, n long, sketch binary")

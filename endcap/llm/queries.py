@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from endcap.llm import jaccard_join, mixing, packing, secret_scan, sharding, substring_dedup
+from endcap.llm import jaccard_join, mixing, packing, quality, secret_scan, sharding, substring_dedup, toxicity
 from endcap.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -33,6 +33,14 @@ def op4_chosen_path_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_join.joined(table(spark, d, "documents")).drop("text_hash")
 
 
+def op5_fourier_quality(spark: SparkSession, d: str) -> DataFrame:
+    return quality.scored(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def op8_boosted_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.scored(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op9_novelty_secrets(spark: SparkSession, d: str) -> DataFrame:
     return secret_scan.scan(table(spark, d, "documents")).drop("found")
 
@@ -44,5 +52,5 @@ def op10_pivotal_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_bounded_ring,
-                                   op3_level_wise_doubling, op4_chosen_path_join,
+                                   op3_level_wise_doubling, op4_chosen_path_join, op5_fourier_quality, op8_boosted_toxicity,
                                    op9_novelty_secrets, op10_pivotal_mixing)}

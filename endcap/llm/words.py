@@ -103,3 +103,24 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
         out = np.minimum(out[:-step], out[step:])
         have += step
     return out
+
+
+def slices(column: pa.Array, limit: int = 8 << 20) -> list[tuple[int, int]]:
+    """Row ranges of about ``limit`` bytes of text, one row at least."""
+    _, offsets = text_bytes(column)
+    out, lo = [], 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
+        hi = min(hi, len(column))
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+def per_row(values: np.ndarray, edges: np.ndarray, how=np.add, kind=np.int64) -> np.ndarray:
+    """Reduction of each row's values; rows without values give 0."""
+    out = np.zeros(len(edges) - 1, kind)
+    full = np.flatnonzero(np.diff(edges))
+    if len(full):
+        out[full] = how.reduceat(values, edges[full], dtype=kind)
+    return out
