@@ -1,7 +1,7 @@
 """Toxicity scores: gradient-boosted trees over dense lexical features, isotonic.
 
-Features of a text are densities of abusive words (a fixed lexicon, and words learned
-from labels), how often a second-person word stands near one, capitals, punctuation, and
+Features of a text are densities of abusive words (a fixed lexicon, and words and word
+beginnings learned from labels, as inflection varies the ends), how often a second-person word stands near one, capitals, punctuation, and
 obfuscation (symbols or digits for letters, letters repeated). Trees are boosted on the
 logistic loss with histograms; a third of the rows is kept from them for calibration.
 
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from endcap.functions.durable import durable
 from endcap.llm import words as wd
 from endcap.llm.calibration import Isotonic, isotonic
 from endcap.llm.quality import remainder
@@ -33,6 +34,10 @@ from endcap.llm.quality import remainder
 FIT_ROWS = 60_000
 TREES, DEPTH, RATE, BINS = 80, 3, 0.15, 32
 LEARNED = 256
+#: Abusive texts that a learned word needs, and its log odds ratio.
+LEAST, ODDS = 3, 2.0
+#: Bytes of word beginnings that are learned.
+STEMS = range(4, 10)
 #: Words between a second-person word and an abusive one that counts as aimed.
 NEAR = 6
 
@@ -92,13 +97,40 @@ def _member(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 _FIXED, _SECOND = _ids(LEXICON), _ids(SECOND)
 
 
-def dense(column: pa.Array, learned: np.ndarray) -> np.ndarray:
-    """Rows of features; ``learned`` are hashes of learned words."""
+class Lexicon(NamedTuple):
+    """Hashes of learned words, and of learned beginnings by their length in bytes."""
+
+    words: np.ndarray
+    stems: dict[int, np.ndarray]
+
+    def hits(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray
+             ) -> np.ndarray:
+        out = _member(h, self.words)
+        for n, known in self.stems.items():
+            k = np.flatnonzero(ends - starts >= n)
+            out[k] |= _member(wd.word_hashes(low, starts[k], starts[k] + n), known)
+        return out
+
+
+def lexicon(words: list[bytes] = (), stems: list[bytes] = ()) -> Lexicon:
+    def hashes(items: list[bytes]) -> np.ndarray:
+        if not items:
+            return np.empty(0, np.uint64)
+        buf = np.frombuffer(b"".join(items), np.uint8)
+        at = np.cumsum([0, *map(len, items)])
+        return np.unique(wd.word_hashes(buf, at[:-1], at[1:]))
+
+    by = {n: hashes([x for x in stems if len(x) == n]) for n in sorted({len(x) for x in stems})}
+    return Lexicon(hashes(list(words)), by)
+
+
+def dense(column: pa.Array, learned: Lexicon) -> np.ndarray:
+    """Rows of features."""
     buf, offsets = wd.text_bytes(column)
     low, starts, ends, first, h = letter_words(column)
     n = np.diff(first)
     words, size = np.maximum(n, 1), np.maximum(np.diff(offsets), 1)
-    fixed, own = _member(h, _FIXED), _member(h, learned)
+    fixed, own = _member(h, _FIXED), learned.hits(low, starts, ends, h)
     bad, you = fixed | own, _member(h, _SECOND)
     row = np.repeat(np.arange(len(n)), n)
     # words to the nearest second-person word before or behind, within the text
@@ -132,7 +164,7 @@ def dense(column: pa.Array, learned: np.ndarray) -> np.ndarray:
         r2 = np.repeat(np.arange(len(n)), np.diff(f2))
         spelled = np.bincount(r2[inner], minlength=len(n)).astype(float)
         hh = wd.word_hashes(_PLAIN[buf], s2[inner], e2[inner])
-        hidden = np.bincount(r2[inner][_member(hh, _FIXED) | _member(hh, learned)],
+        hidden = np.bincount(r2[inner][_member(hh, _FIXED) | _member(hh, learned.words)],
                              minlength=len(n)).astype(float)
     again = np.zeros(len(buf), np.uint8)
     if len(buf) > 2:
@@ -223,7 +255,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = RATE,
 
 
 class Model(NamedTuple):
-    learned: np.ndarray
+    learned: Lexicon
     trees: Trees | None
     calibrate: Isotonic | None
 
@@ -251,57 +283,91 @@ def fit_rows(docs: DataFrame, labels: DataFrame, column: str, of: int, held: int
         F.broadcast(taken), "_d")
 
 
-def learned_words(rows: DataFrame, most: int = LEARNED) -> list[str]:
-    """Words much more frequent in abusive texts, by counts of texts; only one part of
-    the rows is used, so that the trees see the words' worth on others."""
+def learned_lexicons(rows: DataFrame, most: int = LEARNED) -> list[Lexicon]:
+    """Words, and beginnings shared by two different words of a text, that stand in many
+    more abusive texts than others: of half 0 of the rows, of half 1, and of all."""
+    sides = ["n00", "n01", "n10", "n11"]                      # half, label
+
+    def counted(kind: str, names: np.ndarray, side: np.ndarray, spell) -> pa.RecordBatch:
+        """Texts per name; ``names`` has columns (text, hash, a token with it)."""
+        _, one, code = np.unique(names[1], return_index=True, return_inverse=True)
+        n = np.bincount(code * 4 + side[names[0].astype(np.int64)], minlength=4 * len(one))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([kind] * len(one), pa.string()),
+             pa.array([spell(int(i)) for i in names[2][one]], pa.binary()),
+             *[pa.array(n[k::4], pa.int64()) for k in range(4)]], ["kind", "word", *sides])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts: dict[bytes, list[int]] = {}
-            label = b.column(1).to_numpy()
-            low, starts, ends, first, h = letter_words(b.column(0))
-            data = low.tobytes()
-            row = np.repeat(np.arange(b.num_rows), np.diff(first))
-            _, one = np.unique(np.stack([row.astype(np.uint64), h]), axis=1, return_index=True)
-            for i in one.tolist():
-                c = counts.setdefault(data[starts[i]:ends[i]], [0, 0])
-                c[int(label[row[i]])] += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w.decode("utf-8", "replace") for w in counts]),
-                 pa.array([c[0] for c in counts.values()], pa.int64()),
-                 pa.array([c[1] for c in counts.values()], pa.int64())], ["word", "n0", "n1"])
-
-    sums = rows.groupBy().agg(F.sum("label").alias("bad"), F.count("*").alias("n")).first()
-    bad, good = sums["bad"] or 0, (sums["n"] or 0) - (sums["bad"] or 0)
-    if not bad or not good:
-        return []
-    odds = F.log((F.col("n1") + 0.5) / bad) - F.log((F.col("n0") + 0.5) / good)
-    words = (rows.select("text", "label").mapInArrow(run, "word string, n0 long, n1 long")
-             .groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-             .where((F.col("n1") >= max(4, 0.03 * bad)) & (odds > 2) & (F.length("word") > 2))
-             .orderBy(odds.desc(), "word").limit(most))
-    return [r["word"] for r in words.collect()]
+        for whole in batches:
+            for lo, hi in wd.slices(whole.column(0)):
+                b = whole.slice(lo, hi - lo)
+                side = 2 * b.column(2).to_numpy() + b.column(1).to_numpy().astype(np.int64)
+                low, starts, ends, first, h = letter_words(b.column(0))
+                data = low.tobytes()
+                row = np.repeat(np.arange(b.num_rows, dtype=np.uint64), np.diff(first))
+                pair, one = np.unique(np.stack([row, h]), axis=1, return_index=True)
+                yield counted("word", np.stack([*pair, one.astype(np.uint64)]), side,
+                              lambda i: data[starts[i]:ends[i]])
+                for n in STEMS:
+                    t = one[ends[one] - starts[one] >= n]     # a token of each distinct word
+                    p = np.stack([row[t], wd.word_hashes(low, starts[t], starts[t] + n)])
+                    q, at, times = np.unique(p, axis=1, return_index=True, return_counts=True)
+                    k = times > 1
+                    yield counted("stem", np.stack([*q[:, k], t[at[k]].astype(np.uint64)]), side,
+                                  lambda i, n=n: data[starts[i]:starts[i] + n])
+
+    half = (F.col("part") >= 3).cast("int")
+    used = rows.select("text", "label", half.alias("half"))
+    total = {(r["half"], r["label"]): r["count"]
+             for r in used.groupBy("half", "label").count().collect()}
+    counts = durable(used.mapInArrow(run, "kind string, word binary, " + ", ".join(
+        f"{c} long" for c in sides)).groupBy("kind", "word").agg(
+            *[F.sum(c).alias(c) for c in sides])
+        .where((F.col("n01") + F.col("n11") >= LEAST) & (F.length("word") > 2)))
+    out = []
+    for halves in ((0,), (1,), (0, 1)):
+        good, bad = (sum(total.get((h, y), 0) for h in halves) for y in (0.0, 1.0))
+        n0, n1 = (sum((F.col(f"n{h}{y}") for h in halves), F.lit(0)) for y in (0, 1))
+        if not bad or not good:
+            out.append(lexicon())
+            continue
+        odds = F.log((n1 + 0.5) / bad) - F.log((n0 + 0.5) / good)
+        kept = counts.where((n1 >= max(LEAST, 0.02 * bad)) & (odds > ODDS)).withColumn("odds", odds)
+        out.append(lexicon(*[[bytes(r["word"]) for r in kept.where(F.col("kind") == k)
+                              .orderBy(F.col("odds").desc(), "word").limit(most).collect()]
+                             for k in ("word", "stem")]))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", of: int = 4, held: int = 2,
         most: int = FIT_ROWS) -> Model:
     rows = fit_rows(docs, labels, column, of, held, most)
-    words = learned_words(rows.where("part < 2"))
-    learned = _ids(words) if words else np.empty(0, np.uint64)
+    lexicons = learned_lexicons(rows)
+    learned = lexicons[2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = dense(b.column(0), learned)
+            part = b.column(2).to_numpy()
+            x = None
+            for half in (0, 1):                      # each half by the words of the other
+                rows_ = np.flatnonzero((part >= 3) == half)
+                if len(rows_):
+                    f = dense(b.column(0).take(pa.array(rows_)), lexicons[1 - half])
+                    x = np.zeros((len(part), f.shape[1])) if x is None else x
+                    x[rows_] = f
+            if x is None:
+                continue
             flat = pa.ListArray.from_arrays(
                 pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([flat, b.column(1), b.column(2)],
                                              ["x", "label", "part"])
 
-    got = rows.select("text", "label", "part").where("part >= 1").mapInArrow(
+    got = rows.select("text", "label", "part").mapInArrow(
         run, "x array<double>, label double, part int").toPandas()
     if got.empty or got["label"].nunique() < 2:
         return Model(learned, None, None)
     x, y = np.stack(got["x"].to_numpy()), got["label"].to_numpy()
-    hold = (got["part"] == 5).to_numpy()
+    hold = (got["part"] % 3 == 2).to_numpy()
     if len(np.unique(y[~hold])) < 2 or hold.sum() < 50:
         hold = np.zeros(len(y), bool)                # too few rows to keep some apart
     trees = boost(x[~hold], y[~hold])
