@@ -1,8 +1,9 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Per round every node points its larger neighbours, then itself and its smaller ones, at
-the least neighbour. Minima combine before they are shuffled; a node with very many
-neighbours is only met in joins against one row, which adaptive execution splits.
+the least neighbour. Minima combine before they are shuffled. A node with very many
+neighbours is met in one join only, against a single row; that join is on the node and a
+salt, so its rows are parted, and adaptive execution can split them further.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from endcap.functions.durable import durable
 
 
+SALTS = 8
+
+
 def _state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*").alias("n"),
                   F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -29,7 +33,10 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (both.where("v > u").join(least, "u")
+        salted = both.where("v > u").withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+        every = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        every = every.withColumn("s", F.col("s").cast("long"))
+        large = (salted.join(every, ["u", "s"])
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"),

@@ -43,4 +43,23 @@ select m.doc_id, m.component_id, coalesce(l.n_links, 0)::bigint as n_links,
 from m left join l using (doc_id)
 """
 
-ORACLES = {"op3_level_wise_doubling": LEVEL_WISE_DOUBLING, "op4_chosen_path_join": CHOSEN_PATH}
+MULTI_INDEX = """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings),
+n as (
+  select vec_id, e, sqrt(list_inner_product(e, e)) as size from v
+  where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as (
+  select a.vec_id as x, b.vec_id as y from n a, n b
+  where a.vec_id <> b.vec_id and list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.9),
+r as (select vec_id as x, vec_id as y from v union select r.x, l.y from r join l on l.x = r.y),
+c as (select x as vec_id, min(y) as component_id from r group by x),
+k as (select x as vec_id, count(*) as n_links from l group by x)
+select c.vec_id, coalesce(k.n_links, 0)::bigint as n_links, c.component_id,
+       c.vec_id = c.component_id as kept
+from c left join k using (vec_id)
+"""
+
+ORACLES = {"op3_level_wise_doubling": LEVEL_WISE_DOUBLING, "op4_chosen_path_join": CHOSEN_PATH,
+           "op7_inverted_multi_index": MULTI_INDEX}

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from endcap.llm import jaccard_join, mixing, packing, quality, secret_scan, sharding, substring_dedup, toxicity
+from endcap.llm import (
+    jaccard_join,
+    mixing,
+    multi_index,
+    packing,
+    quality,
+    secret_scan,
+    sharding,
+    substring_dedup,
+    toxicity,
+    vptree,
+)
 from endcap.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -37,6 +48,14 @@ def op5_fourier_quality(spark: SparkSession, d: str) -> DataFrame:
     return quality.scored(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
+def op6_vantage_point_search(spark: SparkSession, d: str) -> DataFrame:
+    return vptree.nearest(table(spark, d, "embeddings"))
+
+
+def op7_inverted_multi_index(spark: SparkSession, d: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, d, "embeddings"))
+
+
 def op8_boosted_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.scored(table(spark, d, "documents"), table(spark, d, "labels"))
 
@@ -52,5 +71,6 @@ def op10_pivotal_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_bounded_ring,
-                                   op3_level_wise_doubling, op4_chosen_path_join, op5_fourier_quality, op8_boosted_toxicity,
+                                   op3_level_wise_doubling, op4_chosen_path_join, op5_fourier_quality, op6_vantage_point_search,
+                                   op7_inverted_multi_index, op8_boosted_toxicity,
                                    op9_novelty_secrets, op10_pivotal_mixing)}
