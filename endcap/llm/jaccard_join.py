@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from endcap.functions.durable import durable
 from endcap.llm import graph
 from endcap.llm import words as wd
+from endcap.llm.names import free
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Random orders of tokens; also the length of the sketch that pairs are compared on.
@@ -381,12 +382,14 @@ def joined(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD,
 def first_of_groups(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, one of each group; rows without links all stay."""
     names = docs.columns
+    d, h, links = (free(names, x) for x in ("kept_id", "kept_hash", "kept_links"))
+    d2, h2 = free(names, "own_id"), free(names, "own_hash")
     keep = (joined(docs, **options).where("kept")
-            .groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
-            .agg(F.max("n_links").alias("_links")))
-    a = docs.withColumns({"_d2": F.col("doc_id").cast("long"), "_h2": F.xxhash64("text")})
-    hit = a.join(keep, F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_h") == F.col("_h2")))
-    single = hit.where("_links = 0")
+            .groupBy(F.col("doc_id").alias(d), F.col("text_hash").alias(h))
+            .agg(F.max("n_links").alias(links)))
+    a = docs.withColumns({d2: F.col("doc_id").cast("long"), h2: F.xxhash64("text")})
+    hit = a.join(keep, F.col(d).eqNullSafe(F.col(d2)) & (F.col(h) == F.col(h2)))
+    single = hit.where(F.col(links) == 0)
     # repeated rows of a kept document have the same doc_id and text; one of them stays
-    rest = hit.where("_links > 0").dropDuplicates(["_d2", "_h2"])
+    rest = hit.where(F.col(links) > 0).dropDuplicates([d2, h2])
     return single.unionByName(rest).select(*names)

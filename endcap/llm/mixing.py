@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from endcap.functions.durable import durable
+from endcap.llm.names import free
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -205,14 +206,15 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: f
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as it is copied."""
-    key = [F.col("doc_id").cast("long").alias("_d"), F.col("source").alias("_s"),
-           F.xxhash64("text", F.col("text").isNull()).alias("_h")]
-    plan = (mixed(docs, **options).where("copies > 0")
-            .select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"),
-                    F.col("text_hash").alias("_h"), F.col("copies").alias("_copies"))
-            .dropDuplicates(["_d", "_s", "_h"]))
-    a, b = docs.select("*", *key).alias("a"), plan.alias("b")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("_d", "_s", "_h")]
-    hit = a.join(b, same[0] & same[1] & same[2])
-    return hit.select(F.explode(F.array_repeat(F.lit(0), F.col("b._copies"))).alias("_k"),
-                      *[F.col(f"a.{c}") for c in docs.columns]).drop("_k")
+    plan = (mixed(docs, **options).where("copies > 0").groupBy(
+        F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("text_hash").alias("h"))
+        .agg(F.max("copies").alias("copies")))       # repeated rows share one decision
+    names = docs.columns
+    d, s, h, k = (free(names, x) for x in ("own_id", "own_source", "own_hash", "copy"))
+    a = docs.withColumns({d: F.col("doc_id").cast("long"), s: F.col("source"),
+                          h: F.xxhash64("text", F.col("text").isNull())}).alias("a")
+    b = plan.alias("b")
+    hit = a.join(b, F.col(f"a.{d}").eqNullSafe(F.col("b.d")) & F.col(f"a.{s}").eqNullSafe(F.col("b.s"))
+                 & (F.col(f"a.{h}") == F.col("b.h")))
+    return hit.select(*[F.col(f"a.`{c}`") for c in names], F.explode(
+        F.array_repeat(F.lit(0), F.col("b.copies"))).alias(k)).drop(k)

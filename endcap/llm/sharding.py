@@ -101,8 +101,10 @@ def with_points(docs: DataFrame, key: str, points: np.ndarray, cells: int) -> Da
 
 def ring_shards(rows: DataFrame, key: str, shards: int, vnodes: int = VNODES,
                 epsilon: float = 0.0, cell: int = CELL) -> DataFrame:
-    """Adds ``shard`` and ``slot`` (gapless from 0 in its shard) to slim rows."""
+    """``key``, ``size``, ``text_crc32`` or whatever slim columns ``rows`` has, with ``shard``
+    and ``slot`` (gapless from 0 in its shard), which replace columns of these names."""
     points, owner = ring(shards, vnodes)
+    rows = rows.drop("shard", "slot", "_n", "_point", "_arc", "_cell", "_part", "_rank", "_before")
     names = rows.columns
     # the cells of the ring grow in number with the input, so that no task ranks many rows
     base = durable(rows.withColumn("_n", F.monotonically_increasing_id()))

@@ -24,10 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from endcap.functions.durable import durable
 from endcap.llm import words as wd
 from endcap.llm.calibration import Isotonic, isotonic
+from endcap.llm.names import free
 from endcap.llm.quality import remainder
 
 #: Bound on the labelled rows that the lexicon, the trees and the calibration are fitted on.
@@ -377,18 +379,20 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", of: int = 4,
     return Model(learned, trees, isotonic(value, np.bincount(at), np.bincount(at, yy)))
 
 
-def _score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns and ``_score``."""
-    at = docs.columns.index("text")
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The documents that are not rejected, unchanged, with all their columns."""
+    model = fit(docs, labels)
+    at, score = docs.columns.index("text"), free(docs.columns, "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo, hi in wd.slices(whole.column(at)):
                 b = whole.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model(b.column(at)))],
-                                                 [*b.schema.names, "_score"])
+                                                 [*b.schema.names, score])
 
-    return docs.mapInArrow(run, docs.schema.add("_score", "double"))
+    schema = T.StructType([*docs.schema, T.StructField(score, T.DoubleType())])
+    return docs.mapInArrow(run, schema).where(F.col(score) < threshold).drop(score)
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, of: int = 4,
@@ -408,8 +412,3 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, of: int =
     held_out = F.coalesce(remainder(F.col("doc_id"), of) == held, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score",
                       (F.col("score") >= threshold).cast("int").alias("predicted"))
-
-
-def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents that are not rejected, unchanged."""
-    return _score(docs, fit(docs, labels)).where(F.col("_score") < threshold).drop("_score")
