@@ -36,7 +36,7 @@ from endcap.llm.vectors import lists, matrix, usable, valid
 
 THRESHOLD, RECALL = 0.9, 0.999
 #: Vectors that codebooks are fitted on, and members of a cell on average.
-SAMPLE, CELL = 20_000, 64
+SAMPLE, CELL = 20_000, 512
 #: Members and visitors of one block of a cell; rows of one task.
 MEMBERS, VISITORS, ROWS = 1_024, 4_096, 32_768
 
@@ -121,7 +121,8 @@ def grid_for(classes: DataFrame, n: int, threshold: float, recall: float) -> Gri
     share = int(min(1.0, SAMPLE / max(n, 1)) * (1 << 20))
     rows = classes.where(F.pmod(F.xxhash64("cid"), F.lit(1 << 20)) < max(share, 1)).orderBy(
         "cid").limit(SAMPLE).select("u").toPandas()
-    u = np.stack(rows["u"].to_numpy()) if len(rows) else np.zeros((1, 2))
+    u = normalised(np.stack(rows["u"].to_numpy()).astype(np.float64)) if len(rows) else \
+        np.zeros((1, 2))
     half = max(1, u.shape[1] // 2)
     k = min(k, len(u))
     b = u[:, half:] if u.shape[1] > 1 else np.zeros((len(u), 1))
@@ -130,16 +131,16 @@ def grid_for(classes: DataFrame, n: int, threshold: float, recall: float) -> Gri
 
 
 def _classes(rows: DataFrame) -> DataFrame:
-    """vec_id, class id (16 bytes of the vector's hash) and unit vector of each valid row."""
+    """vec_id, class id (16 bytes of the vector's hash) and vector of each valid row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b.column(1)) + 0.0            # no negative zero
             cid = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in x]
-            u = normalised(x) if len(x) else np.empty((0, 1))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(cid, pa.binary()), lists(u)], ["vec_id", "cid", "u"])
+                [b.column(0), pa.array(cid, pa.binary()), b.column(1)], ["vec_id", "cid", "u"])
 
-    return rows.mapInArrow(run, "vec_id long, cid binary, u array<double>")
+    kind = rows.schema["embedding"].dataType.simpleString()
+    return rows.mapInArrow(run, f"vec_id long, cid binary, u {kind}")
 
 
 def _filed(classes: DataFrame, grid: Grid) -> DataFrame:
@@ -147,10 +148,12 @@ def _filed(classes: DataFrame, grid: Grid) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index("u")
-            cells = grid.visited(matrix(b.column(at))) if b.num_rows else np.empty((0, 1), np.int32)
+            cells = grid.visited(normalised(matrix(b.column(at)))) if b.num_rows else \
+                np.empty((0, 1), np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, lists(cells)], [*b.schema.names, "cells"])
 
-    return classes.mapInArrow(run, "cid binary, u array<double>, copies long, cells array<int>")
+    kind = classes.schema["u"].dataType.simpleString()
+    return classes.mapInArrow(run, f"cid binary, u {kind}, copies long, cells array<int>")
 
 
 def _blocks(filed: DataFrame) -> DataFrame:
@@ -183,7 +186,7 @@ def _compare(threshold: float):
     schema = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("links", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        u = matrix(table["u"])
+        u = normalised(matrix(table["u"]))
         cells = matrix(table["cells"], np.int32)
         home = cells[:, 0]
         raw = table["cid"].to_pylist()
