@@ -60,8 +60,9 @@ class Settings:
     known_region_buffer: int = 2000
     min_report_atl: int = 100
     ploidy: int = 2
-    # largest number of distinct strings compared all against all in one block
-    block_limit: int = 384
+    # distinct strings of a group up to which one task links it; larger groups are linked in
+    # rounds over many tasks, with the same result
+    group_in_task: int = 384
     tile: int = 32
 
     def __post_init__(self) -> None:
