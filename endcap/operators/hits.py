@@ -101,6 +101,25 @@ def raw_hits(reads: DataFrame, motifs: MotifTable, toward_q: bool = True) -> Dat
             .mapInArrow(find, "rid long, ki int, s int, e int"))
 
 
+def painted_runs(reads: DataFrame, motifs: MotifTable, toward_q: bool = True) -> DataFrame:
+    """The final runs as rows (rid, ki, s, e), found within each read: no shuffle."""
+    painter = Painter(motifs, toward_q)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [painter.runs(seq) for seq in batch.column(1).to_pylist()]
+            rid = batch.column(0).to_numpy(zero_copy_only=False)
+            cols = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64)
+                    for k in range(3)]
+            yield pa.record_batch({
+                "rid": pa.array(np.repeat(rid, [len(f[0]) for f in found]).astype(np.int64)),
+                "ki": pa.array(cols[2].astype(np.int32)), "s": pa.array(cols[0].astype(np.int32)),
+                "e": pa.array(cols[1].astype(np.int32))})
+
+    return (reads.select(F.col("rid").cast("long"), "seq").where("seq is not null")
+            .mapInArrow(find, "rid long, ki int, s int, e int"))
+
+
 def drop_covered(hits: DataFrame, motifs: MotifTable) -> DataFrame:
     """Drop hits that overlap a raw hit of a longer motif containing theirs.
 

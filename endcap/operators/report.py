@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from endcap.config import BLANK, UNANCHORED, Settings
-from endcap.functions.rank import n50
-from endcap.operators.alleles import ORDER, order_key
+from endcap.operators.alleles import ORDER, order_key, sample_key
 
 SHORT_TL = 1000
-LIST_LIMIT = 100_000
 
 
 def filter_alleles(heads: DataFrame, reads: DataFrame, min_reads: int = 3, min_tvr: int = 100,
@@ -40,31 +38,53 @@ def report_class(heads: DataFrame, settings: Settings) -> DataFrame:
 
 
 def summary(heads: DataFrame, reads: DataFrame, settings: Settings) -> DataFrame:
-    """The one-row metrics table. Without passing alleles the averages are null."""
+    """The metrics table, one row (per sample). Without passing alleles the averages are null.
+
+    Reads are reduced to (allele, length) counts once; all metrics of reads come from those.
+    """
+    key = sample_key(heads)
     f = filter_alleles(heads, reads, min_tvr=-1, min_reads=settings.min_reads,
                        min_maxatl=settings.min_report_atl)
     good = F.col("fail_reason").isNull()
-    top = f.agg(
+    cls = report_class(f, settings)
+    top = cls.groupBy(*key).agg(
         F.count_if(good).alias("num_alleles"), F.count_if(~good).alias("num_alleles_fail"),
         F.avg(F.when(good, F.col("tl"))).cast("int").alias("tl_mean"),
         F.percentile(F.when(good, F.col("tl")), F.lit(0.5)).cast("int").alias("tl_median"),
-        F.count_if(good & (F.col("tl") < SHORT_TL)).alias("tl_short"))
-    used = reads.join(f.where(good).select("aid"), "aid", "left_semi")
-    lens = used.agg(F.count(F.lit(1)).alias("num_telreads"),
-                    F.avg("rlen").cast("int").alias("telread_mean_length"))
-    half = n50(used, "rlen", out="telread_n50_length").agg(
-        F.max("telread_n50_length").alias("telread_n50_length"))
-    cls = report_class(heads, settings)
-    fails = cls.agg(*[
-        F.coalesce(F.sum(F.when(F.col("report") == k, F.col("n_reads"))), F.lit(0))
-        .cast("long").alias(f"fail_reads_{name}")
-        for k, name in (("unmapped", "unmapped"), ("short", "maxatl"),
-                        ("interstitial", "interstitial"))])
-    # four one-row results become one row
-    rows = top
-    for part in (lens, half, fails):
-        rows = rows.unionByName(part, allowMissingColumns=True)
-    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+        F.count_if(good & (F.col("tl") < SHORT_TL)).alias("tl_short"),
+        *[F.coalesce(F.sum(F.when(F.col("report") == k, F.col("n_reads"))), F.lit(0))
+          .cast("long").alias(f"fail_reads_{name}")
+          for k, name in (("unmapped", "unmapped"), ("short", "maxatl"),
+                          ("interstitial", "interstitial"))])
+    used = reads.join(f.where(good).select(*key, "aid"), "aid")
+    per_len = used.groupBy(*key, "rlen").agg(F.count(F.lit(1)).alias("_k"),
+                                             F.sum(F.col("rlen").cast("long")).alias("_bp"))
+    # buckets of lengths, longest first: the bucket in which half of all bases is reached
+    bucket = per_len.withColumn("_b", F.floor(F.col("rlen") / 1024))
+    sums = bucket.groupBy(*key, "_b").agg(
+        F.sum("_k").alias("_k"), F.sum("_bp").alias("_bp"),
+        F.array_sort(F.collect_list(F.struct((-F.col("rlen")).alias("neg"), "_bp"))).alias("_in"))
+    down = Window.partitionBy(*key).orderBy(F.col("_b").desc())
+    whole = Window.partitionBy(*key)
+    upto = F.sum("_bp").over(down.rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.withColumns({"_upto": upto, "_all": F.sum("_bp").over(whole),
+                             "_reads": F.sum("_k").over(whole)})
+    inner = F.aggregate(
+        "_in", F.struct((F.col("_upto") - F.col("_bp")).alias("c"), F.lit(None).cast("int").alias("n")),
+        lambda acc, x: F.struct((acc["c"] + x["_bp"]).alias("c"), F.coalesce(acc["n"], F.when(
+            (acc["c"] + x["_bp"]) * 2 >= F.col("_all"), (-x["neg"]).cast("int"))).alias("n")))["n"]
+    lens = sums.where(F.col("_upto") * 2 >= F.col("_all")).groupBy(*key).agg(
+        F.max("_reads").alias("num_telreads"),
+        F.max((F.col("_all") / F.col("_reads")).cast("int")).alias("telread_mean_length"),
+        F.max(inner).alias("telread_n50_length"))
+    if not key:
+        top, lens = top.withColumn("_one", F.lit(1)), lens.where(
+            F.col("num_telreads").isNotNull()).withColumn("_one", F.lit(1))
+    out = top.join(lens, key or ["_one"], "left").fillna(0, ["num_telreads"])
+    names = ["num_alleles", "num_alleles_fail", "tl_mean", "tl_median", "tl_short", "num_telreads",
+             "telread_mean_length", "telread_n50_length", "fail_reads_unmapped",
+             "fail_reads_maxatl", "fail_reads_interstitial"]
+    return out.select(*key, *names)
 
 
 def length_edges(low: float = 1e3, high: float = 1e6, edges: int = 60) -> list[float]:
@@ -72,37 +92,40 @@ def length_edges(low: float = 1e3, high: float = 1e6, edges: int = 60) -> list[f
 
 
 def length_histogram(lengths: DataFrame, keys: list[str]) -> DataFrame:
-    """Reads per logarithmic length bin; the last bin is closed on the right."""
+    """Reads per logarithmic length bin; the last bin is closed on the right.
+
+    Bin 0 holds what is shorter than the first edge, bin ``len(edges)`` what is longer than
+    the last.
+    """
     e = length_edges()
     n = F.col("length").cast("double")
     bin_no = F.size(F.filter(F.array(*[F.lit(x) for x in e]), lambda x: x <= n))
-    return (lengths.where((n >= e[0]) & (n <= e[-1]))
-            .withColumn("bin", F.least(bin_no, F.lit(len(e) - 1)))
+    inner = F.least(bin_no, F.lit(len(e) - 1))
+    return (lengths.withColumn("bin", F.when(n > e[-1], F.lit(len(e))).otherwise(inner))
             .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")))
 
 
 def atl_by_arm(heads: DataFrame, reads: DataFrame, settings: Settings) -> DataFrame:
     """Telomere + variant length per read of the first alleles listed on each arm."""
     arm = F.when(F.col("chr0").isin(UNANCHORED, BLANK), "unanchored").otherwise(F.col("chr0"))
-    w = Window.partitionBy("arm_label").orderBy(*ORDER)
+    key = sample_key(heads)
+    w = Window.partitionBy(*key, "arm_label").orderBy(*ORDER)
     top = (order_key(heads).where(~F.col("is_interstitial")).withColumn("arm_label", arm)
            .withColumn("slot", F.row_number().over(w))
            .where(F.col("slot") <= max(1, settings.ploidy)))
-    return (top.select("aid", "arm_label", "slot", "tvr_len")
+    return (top.select(*key, "aid", "arm_label", "slot", "tvr_len")
             .join(reads.select("aid", F.col("tl").alias("read_tl")), "aid")
-            .select("arm_label", "slot", "aid", (F.col("tvr_len") + F.col("read_tl")).alias("atl")))
+            .select(*key, "arm_label", "slot", "aid", (F.col("tvr_len") + F.col("read_tl")).alias("atl")))
 
 
 def allele_table(heads: DataFrame, reads: DataFrame, settings: Settings) -> DataFrame:
-    """Rows of the allele TSV, lists joined by commas, in listing order.
+    """Rows of the allele TSV, lists joined by commas, in listing order, one per allele.
 
-    A list cell holds up to LIST_LIMIT reads; a larger allele takes several rows.
+    The sink's format holds all reads of an allele in one cell; for alleles of any size use
+    ``heads`` and ``reads``, which stay a row per read.
     """
-    sized = reads.join(heads.select("aid", "n_reads"), "aid")
-    parts = F.ceil(F.col("n_reads") / LIST_LIMIT)
-    lists = (sized.withColumn("part", F.pmod(F.xxhash64("name"), parts))
-             .groupBy("aid", "part")
-             .agg(F.collect_list(F.struct("tl", "rlen", "name", "mapq")).alias("r")))
+    lists = reads.groupBy("aid").agg(
+        F.collect_list(F.struct("tl", "rlen", "name", "mapq")).alias("r"))
 
     def cell(field: str):
         return F.array_join(F.transform("r", lambda x: x[field].cast("string")), ",")
@@ -117,11 +140,11 @@ def allele_table(heads: DataFrame, reads: DataFrame, settings: Settings) -> Data
         lambda y: y["x"])
     rows = (order_key(heads).join(lists, "aid")
             .withColumn("r", F.when(F.size("merged") > 1, as_text).otherwise(F.array_sort("r")))
-            .orderBy(*ORDER, "part"))
+            .orderBy(*sample_key(heads), *ORDER))
     ids = F.transform("merged", lambda x: x.cast("string"))
     mark = F.when(F.col("is_interstitial"), "i").otherwise("")
     return rows.select(
-        F.array_join("chrs", ",").alias("#chr"),
+        *sample_key(heads), F.array_join("chrs", ",").alias("#chr"),
         F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("position"),
         F.array_join("ref_samps", ",").alias("ref_samp"),
         F.concat(F.array_join(ids, ","), mark).alias("allele_id"),
@@ -133,9 +156,14 @@ def allele_table(heads: DataFrame, reads: DataFrame, settings: Settings) -> Data
 
 
 def write_allele_tsv(heads: DataFrame, reads: DataFrame, path: str, settings: Settings) -> None:
-    """Ordered TSV part files with one header each; range-sorted, not pulled to one task."""
-    (allele_table(heads, reads, settings).write.mode("overwrite")
-     .option("sep", "\t").option("header", True).option("emptyValue", "").csv(path))
+    """Ordered TSV part files with one header each; range-sorted, not pulled to one task.
+
+    One folder per sample where alleles carry one.
+    """
+    writer = allele_table(heads, reads, settings).write.mode("overwrite")
+    if sample_key(heads):
+        writer = writer.partitionBy("sample")
+    (writer.option("sep", "\t").option("header", True).option("emptyValue", "").csv(path))
 
 
 def write_stats(summary_row: DataFrame, path: str) -> None:

@@ -103,7 +103,7 @@ def motif_hits_nonoverlap(spark, d):
 
 
 def motif_hits_final(spark, d):
-    return _hit_stats(ht.final_runs(q_reads(spark, d), motif_table()))
+    return _hit_stats(ht.painted_runs(q_reads(spark, d), motif_table()))
 
 
 def canonical_bases(spark, d):
@@ -289,7 +289,7 @@ def sam_orient(spark, d):
 
 def best_alignment(spark, d):
     aln = typed(spark, d)
-    return (an.top_alignments(aln).join(an.best_mapq(aln), "read")
+    return (an.top_alignments(aln).join(an.best_mapq(aln), ["cluster", "read"])
             .select("cluster", "read", "aln_no", "span", "mapq", "ref", "pos1", "pos2",
                     "best_mapq"))
 

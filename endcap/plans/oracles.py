@@ -354,8 +354,9 @@ select aln_no, lead_clip, ref_span, read_span, tail_clip from cig where cigar <>
 select aln_no, kind, cluster, read, read_pos1, read_pos2, ref, pos1, pos2, orient, mapq from typed"""
     q["best_alignment"] = TOP + """
 select t.cluster, t.read, aln_no, span, mapq, ref, pos1, pos2, best_mapq
-from top t join (select read, max(mapq) as best_mapq from typed where kind = 'subtel' group by read)
-  using (read)"""
+from top t join (
+    select cluster, read, max(mapq) as best_mapq from typed where kind = 'subtel' group by cluster, read)
+  using (cluster, read)"""
     q["anchor_scores"] = SCORES + """
 select cluster, ref, weighted, n_reads, anchor, round(share, 9) as share from scored"""
     q["anchor_calls"] = SCORES + """,
@@ -432,8 +433,8 @@ with {READS}, c as (select *, length(seq) as length, {COUNTS} from reads),
 both_series as (
   select 'all' as series, length from c
   union all select 'tel', length from c where length > 0 and not is_sup and (n_fwd >= 8 or n_rev >= 8))
-select series, cast({bins} as int) as bin, count(*) as n from both_series
-where length >= {edges[0]!r} and length <= {edges[-1]!r} group by 1, 2"""
+select series, cast(case when length < {edges[0]!r} then 0 when length > {edges[-1]!r} then {len(edges)}
+  else {bins} end as int) as bin, count(*) as n from both_series group by 1, 2"""
     q["atl_by_arm"] = ALLELES + f""",
 top as (
   select *, case when chr0 in ('chrUq', 'chrBq') then 'unanchored' else chr0 end as arm_label

@@ -19,12 +19,14 @@ PAIRS = [a + b for a in BASES for b in BASES]
 
 
 def inflate(path: str) -> Iterator[bytes]:
-    """Uncompressed blocks of a block-gzip file; a truncated file ends quietly."""
+    """Uncompressed blocks of a block-gzip file; a truncated file is an error."""
     with open(path, "rb") as f:
         while True:
             head = f.read(18)
-            if len(head) < 18:
+            if not head:
                 return
+            if len(head) < 18:
+                raise EOFError(f"{path} is truncated")
             extra = struct.unpack_from("<H", head, 10)[0]
             fields = head[12:] + f.read(extra - 6)
             size, at = None, 0
@@ -37,7 +39,7 @@ def inflate(path: str) -> Iterator[bytes]:
                 raise ValueError(f"{path} is not block-gzip compressed")
             body = f.read(size - extra - 11)
             if len(body) < size - extra - 11:
-                return
+                raise EOFError(f"{path} is truncated")
             yield zlib.decompress(body[:-8], wbits=-15)
 
 
@@ -49,6 +51,8 @@ class _Stream:
         while len(self.buf) - self.at < n:
             more = next(self.blocks, None)
             if more is None:
+                if len(self.buf) > self.at:
+                    raise EOFError("the last record is truncated")
                 return None
             self.buf, self.at = self.buf[self.at:] + more, 0
         out = self.buf[self.at:self.at + n]
@@ -73,7 +77,7 @@ def records(path: str) -> Iterator[tuple]:
     while (size := s.int32()) is not None:
         raw = s.take(size)
         if raw is None:
-            return
+            raise EOFError(f"{path} ends inside a record")
         ref, pos, n_name, mapq, _, n_cig, flag, n_seq = struct.unpack_from("<iiBBHHHi", raw)
         at = 32
         name = raw[at:at + n_name - 1].decode()

@@ -90,7 +90,8 @@ def test_bam(spark, tmp_path):
     cut = str(tmp_path / "cut.bam")
     data = bgzf(head + rec)
     open(cut, "wb").write(data[:-60])
-    assert [r.name for r in read_bam(spark, cut).orderBy("ord").collect()][:2] == ["a", "b"]
+    with pytest.raises(Exception, match="truncated"):
+        read_bam(spark, cut).collect()
 
 
 def test_sam_and_index(spark, tmp_path):
