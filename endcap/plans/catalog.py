@@ -232,15 +232,23 @@ def tvr_clusters(spark, d):
 
 
 def equal_variants(spark, d):
-    """Single-linkage groups of the reads' own variant parts."""
+    """Single-linkage groups of the reads' own variant parts, told by their least read."""
     roles = cv.Roles.of(motif_table())
     size = struct_udf(lambda t: (cv.variant_length(t, roles),), "n int")
     reads = (kept_reads(spark, d).withColumn("v", size("tvrtel")["n"]).where("v > 0")
              .select(F.col("sample").alias("gid"), F.col("rid").alias("id"),
                      F.expr("substring(tvrtel, 1, v)").alias("s")))
     got = gr.collapse_equal(durable(reads), SETTINGS.collapse, SETTINGS)
-    return got.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("n"),
-                                          F.min("id").alias("least_rid"))
+    return got.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias(
+        "least_rid")).drop("comp")
+
+
+def clustered_reads(spark, d):
+    """Final clusters of reads, told by their least read."""
+    m = motif_table()
+    got, _ = calling.cluster_reads(durable(kept_reads(spark, d)), m, SETTINGS)
+    return got.groupBy("sample", "cid").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias(
+        "least_rid")).drop("cid")
 
 
 def column_consensus(spark, d):
@@ -463,7 +471,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     motif_hits, motif_hits_nonoverlap, motif_hits_final, canonical_bases, density_window,
     tel_regions, terminal_tl, read_filter_flags, fusion_flanks, color_vector, rle_runs, denoise,
     density_boundary, cumulative_boundary, subtel_tvr_split, pair_distance, tvr_clusters,
-    equal_variants, column_consensus, msa_consensus, called_alleles, cigar_parse, sam_orient,
+    equal_variants, clustered_reads, column_consensus, msa_consensus, called_alleles, cigar_parse, sam_orient,
     best_alignment, anchor_scores, anchor_calls, interstitial_annotate, fusion_calls,
     match_trimming, allele_rows, tl_estimators, near_alleles, allele_collapse,
     allele_filter_reasons, report_classes, final_order, read_n50, summary_metrics,

@@ -28,6 +28,13 @@ qreads as materialized (
   select rid, sample, name,
          case when rid % 2 = 1 then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end as seq
   from reads)"""
+# long enough reads with a planted telomere, one per name; k23 = 7 marks an inner telomere only
+TRUTH = f"""
+with {READS},
+truth as (
+  select rid, sample, al, cast(rid % 23 as int) as k23 from reads
+  where not is_sup and length(seq) >= {S.min_read_len} and rid % 9 <> 4
+  qualify row_number() over (partition by sample, name order by ord desc) = 1)"""
 MOTIFS = "motif(ki, kmer, kmer_rc, letter) as (values " + _rows(
     list(zip(range(len(M.kmers)), M.kmers, M.kmers_rc, M.letters))) + ")"
 SUPER = "bigger(ki, super_ki) as (values " + _rows(
@@ -478,4 +485,15 @@ m as (
 select rid, md5(m) as masked_md5, greatest((length(m) + 59) // 60, 1) as n_lines,
   md5(regexp_replace(regexp_replace(m, '(.{{60}})', '\\1|', 'g'), '\\|$', '')) as lines_md5
 from m"""
+    # planted truth: what was built into the reads, without any signal or alignment
+    q["read_filter_flags"] = TRUTH + """
+select sample, count(case when k23 = 7 then 1 end) as short_tel, cast(0 as bigint) as nontel,
+  cast(0 as bigint) as short_subtel, count(case when k23 <> 7 then 1 end) as keep
+from truth group by sample"""
+    q["equal_variants"] = TRUTH + """
+select sample as gid, count(*) as n, min(rid) as least_rid from truth where k23 <> 7
+group by sample, al"""
+    q["clustered_reads"] = TRUTH + f"""
+select sample, count(*) as n, min(rid) as least_rid from truth where k23 <> 7
+group by sample, al having count(*) >= {S.min_reads}"""
     return q
