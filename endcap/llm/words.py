@@ -105,7 +105,7 @@ def sliding_min(a: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def slices(column: pa.Array, limit: int = 8 << 20) -> list[tuple[int, int]]:
+def slices(column: pa.Array, limit: int = 2 << 20) -> list[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text, one row at least."""
     _, offsets = text_bytes(column)
     out, lo = [], 0
