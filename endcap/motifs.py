@@ -175,5 +175,14 @@ class MotifTable:
         return spark.createDataFrame(rows, "ki int, super_ki int")
 
 
+BUILT_IN = {"human": HUMAN, "maize": MAIZE, "nematode": NEMATODE}
+
+
+def built_in(species: str, read_type: str = "ont") -> MotifTable:
+    if species not in BUILT_IN:
+        raise ValueError(f"built-in motif tables: {', '.join(sorted(BUILT_IN))}")
+    return MotifTable.parse(BUILT_IN[species], read_type)
+
+
 def human(read_type: str = "ont") -> MotifTable:
-    return MotifTable.parse(HUMAN, read_type)
+    return built_in("human", read_type)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from endcap.config import Settings
 from endcap.functions.batch import struct_udf
@@ -77,3 +78,25 @@ def fasta_lines(contigs: DataFrame) -> DataFrame:
     return contigs.select(F.concat_ws(
         "\n", F.concat(F.lit(">"), "name"),
         F.array_join(wrapped_lines(F.col("seq"), LINE_WIDTH), "\n")).alias("value"))
+
+
+def wrapped_record(name: Column, seq: Column, width: int = LINE_WIDTH) -> Column:
+    """One FASTA record with lines of ``width`` letters."""
+    return F.concat(F.lit(">"), name, F.lit("\n"), F.array_join(wrapped_lines(seq, width), "\n"))
+
+
+def fasta_index(contigs: DataFrame, width: int = LINE_WIDTH) -> DataFrame:
+    """Index of the contigs written as wrapped FASTA in order of ``ord``: name, length, offset
+    of the first letter, letters and bytes of a line, as in an index file.
+
+    Contigs of a reference are few rows of metadata; the sequences are not moved.
+    """
+    n = F.length("seq").cast("long")
+    head = F.octet_length("name") + 2
+    lines = F.ceil(n / width)
+    rows = contigs.select("ord", "name", n.alias("length"), head.cast("long").alias("_head"),
+                          (head + n + lines).cast("long").alias("_size"))
+    before = F.sum("_size").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select("ord", "name", "length", (before - F.col("_size") + F.col("_head"))
+                       .alias("offset"), F.lit(width).alias("linebases"),
+                       F.lit(width + 1).alias("linewidth"))

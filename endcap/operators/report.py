@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import fields, is_dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -180,3 +182,32 @@ def write_lengths(all_reads: DataFrame, tel_reads: DataFrame, final_reads: DataF
     final = final_reads.select(F.lit("final").alias("series"), F.col("rlen").alias("length"))
     parts[0].unionByName(parts[1]).unionByName(final).write.mode("overwrite").partitionBy(
         "series").parquet(path)
+
+
+def run_settings(spark: SparkSession, settings: Settings) -> DataFrame:
+    """Run metadata: every setting and the seed as rows (key, value)."""
+    rows = []
+    for f in fields(settings):
+        value = getattr(settings, f.name)
+        if is_dataclass(value):
+            rows += [(f"{f.name}.{g.name}", str(getattr(value, g.name))) for g in fields(value)]
+        else:
+            rows.append((f.name, str(value)))
+    return spark.createDataFrame(rows, "key string, value string")
+
+
+def write_run_settings(spark: SparkSession, settings: Settings, path: str) -> None:
+    (run_settings(spark, settings).coalesce(1).write.mode("overwrite").option("sep", "\t")
+     .option("header", True).csv(path))
+
+
+def consensus_records(consensus: DataFrame) -> DataFrame:
+    """Consensus strings as FASTA records (name, seq), named by cluster and variant length."""
+    return consensus.select(F.concat_ws("_", "cid", F.concat(F.lit("tvr"), "tvr_len")).alias("name"),
+                            F.col("consensus").alias("seq"))
+
+
+def cluster_order(members: DataFrame) -> DataFrame:
+    """Clusters of (cid, rid), largest first, then by their least members: cid, n, least_rid."""
+    size = members.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("least_rid"))
+    return size.orderBy(F.col("n").desc(), "least_rid")

@@ -5,6 +5,7 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from endcap import Settings
 from endcap import motifs as mt
@@ -166,3 +167,26 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = {(r.rid, r.keep) for r in spark.table("seen").collect()}
     assert got == {(1, True), (2, True)}
+
+
+def test_index_metadata_and_consensus(spark, tmp_path):
+    rows = [(0, "s_chr1p", "ACGTN" * 30), (1, "s_chr1q", "A" * 60), (2, "s_x", "C")]
+    contigs = spark.createDataFrame(rows, "ord long, name string, seq string")
+    text = "\n".join(r.t for r in contigs.orderBy("ord").select(
+        rf.wrapped_record(F.col("name"), F.col("seq")).alias("t")).collect()) + "\n"
+    for r in rf.fasta_index(contigs).collect():
+        lines = text[r.offset:].split(">")[0].strip().split("\n")
+        assert "".join(lines) == rows[r.ord][2] and r.length == len(rows[r.ord][2])
+        assert all(len(x) == r.linebases for x in lines[:-1]) and r.linewidth == r.linebases + 1
+    got = {r.key: r.value for r in rp.run_settings(spark, Settings(seed=5)).collect()}
+    assert got["seed"] == "5" and got["step0.cut"] == "0.2"
+    cons = spark.createDataFrame([("c1", "DDC", 2)], "cid string, consensus string, tvr_len int")
+    fl.write_fasta(rp.consensus_records(cons), str(tmp_path / "cons"))
+    assert [(r.name, r.seq) for r in fl.read_fasta(spark, str(tmp_path / "cons")).collect()] == [
+        ("c1_tvr2", "DDC")]
+    order = rp.cluster_order(spark.createDataFrame(
+        [("b", 5), ("a", 9), ("a", 2), ("c", 1)], "cid string, rid long")).collect()
+    assert [r.cid for r in order] == ["a", "c", "b"]
+    assert mt.built_in("maize").canonical[0] == "CCCTAAA"
+    with pytest.raises(ValueError):
+        mt.built_in("unknown")
