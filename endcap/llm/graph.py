@@ -36,8 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
         salted = both.where("v > u").withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
         every = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         every = every.withColumn("s", F.col("s").cast("long"))
-        large = (salted.join(every, ["u", "s"])
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = salted.join(every, ["u", "s"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"),
                                                             F.col("m").alias("v"))

@@ -42,6 +42,7 @@ DEPTH, SMALL = 3, 128
 #: Share of equal sketch places from which a pair counts as a candidate; for a pair at 0.8
 #: the share is below that with probability 1e-5.
 NEAR = 0.55
+SALTS = 8
 #: Shingles and classes of one tile side; leaf rows of one comparing task.
 TILE, TILE_ROWS, LEAF_ROWS = 1 << 19, 512, 8_192
 _rng = np.random.default_rng(20_240_817)
@@ -164,7 +165,10 @@ def leaves(steps: DataFrame, depth: int = DEPTH, small: int = SMALL) -> tuple[Da
     for d in range(1, depth + 1):
         k = f"k{d}"
         size = rows.groupBy(k).agg(F.count("*").alias("_size")).where("_size > 1")
-        rows = durable(rows.join(size, k))
+        # on bucket and salt, so that the rows of one bucket are parted and can be split further
+        every = size.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int"))
+        rows = durable(salted.join(every, [k, "_salt"]).drop("_salt"))
         ready.append(rows.where(F.col("_size") <= small).select(F.col(k).alias("leaf"), "cid"))
         rows = rows.where(F.col("_size") > small).drop("_size", *([k] if d < depth else []))
     out = ready[0]
