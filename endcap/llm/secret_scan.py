@@ -12,6 +12,7 @@ columns hold, so null and repeated ``doc_id`` are kept. Offsets count code point
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -29,7 +30,9 @@ ASSIGN = re.compile(rf"(?:{_EITHER}|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x
                     r"([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Letters that a candidate has at least.
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 CONTEXT = re.compile(r"pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|auth|bearer|"
                      r"credential|private|signature|\bkey\b", re.I | re.A)
 #: Letters of text before a candidate in which a sensitive word counts.
@@ -100,21 +103,23 @@ def _mixed_letters(s: str) -> bool:
 def novel_spans(text: str, base: list[Span], meter: Meter, threshold: float = NOVELTY
                 ) -> list[Span]:
     """Incompressible strings in a sensitive context that no base span touches."""
+    ends = [w.end() for w in CONTEXT.finditer(text)]
+    if not ends:
+        return []
     out = []
-    seen = -1
-    for word in CONTEXT.finditer(text):
-        lo, hi = max(seen, word.end()), word.end() + NEAR
-        for m in CANDIDATE.finditer(text, lo, len(text)):
-            if m.start() > hi:
-                break
-            seen = m.end()
-            if any(b.start < m.end() and m.start() < b.end for b in base):
+    for m in CANDIDATE.finditer(text):
+        start, end = m.span()
+        k = bisect.bisect_right(ends, start)
+        if k == 0 or start - ends[k - 1] > NEAR:     # no word before it: one inside it?
+            if k == len(ends) or end - ends[k] < LEAST:
                 continue
-            if not _mixed_letters(m[0]):
-                continue
-            n = meter.novelty(text[max(0, m.start() - 256):m.start()], m[0])
-            if n >= threshold:
-                out.append(Span("novel", m.start(), m.end(), m[0], n))
+            start = ends[k]
+        value = text[start:end]
+        if any(b.start < end and start < b.end for b in base) or not _mixed_letters(value):
+            continue
+        n = meter.novelty(text[max(0, start - 256):start], value)
+        if n >= threshold:
+            out.append(Span("novel", start, end, value, n))
     return out
 
 

@@ -441,3 +441,13 @@ def test_pivot_keeps_the_sum_and_the_expectation():
         assert ((f == 0) | (f == 1) | (np.arange(40) == held)).all()
         total += f
     assert np.abs(total / 800 - parts).max() < 0.09
+
+
+def test_many_words_and_no_candidate_stay_linear():
+    import time
+    meter, t = secret_scan.Meter(), time.perf_counter()
+    assert secret_scan.novel_spans("key token " * 60_000, [], meter) == []
+    assert time.perf_counter() - t < 5
+    s = "Zk3Xw9Qb7Lr2Vt5Hs8Jd1Fg6"
+    found = secret_scan.novel_spans(f"client_secret_{s} and", [], meter)
+    assert [x.text for x in found] == ["_" + s]
