@@ -38,7 +38,7 @@ THRESHOLD, RECALL = 0.9, 0.999
 #: Vectors that codebooks are fitted on, and members of a cell on average.
 SAMPLE, CELL = 20_000, 512
 #: Members and visitors of one block of a cell; rows of one task.
-MEMBERS, VISITORS, ROWS = 1_024, 4_096, 32_768
+MEMBERS, VISITORS, ROWS = 1_024, 4_096, 8_192
 
 
 def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
