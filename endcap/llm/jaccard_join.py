@@ -44,7 +44,7 @@ DEPTH, SMALL = 3, 128
 NEAR = 0.55
 SALTS = 8
 #: Shingles and classes of one tile side; leaf rows of one comparing task.
-TILE, TILE_ROWS, LEAF_ROWS = 1 << 19, 512, 8_192
+TILE, TILE_ROWS, LEAF_ROWS = 1 << 19, 512, 2_048
 _rng = np.random.default_rng(20_240_817)
 _MUL = _rng.integers(1 << 62, size=ORDERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(1 << 63, size=ORDERS, dtype=np.uint64)
