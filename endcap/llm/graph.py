@@ -49,6 +49,16 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def spread_join(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """Join on ``key``, of which ``few`` has one row each and ``many`` may have very many.
+
+    The rows of one key are parted by a hash of ``by``; ``few`` is repeated for each part.
+    """
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+    every = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("_salt", salt).join(every, [key, "_salt"]).drop("_salt")
+
+
 def forest(a, b, n: int) -> list[int]:
     """Places of the pairs (a[i], b[i]) that join two parts so far apart, nodes 0 to n - 1."""
     parent = list(range(n))

@@ -369,7 +369,7 @@ def joined(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD,
          .join(comps.withColumnRenamed("node", "cid"), "cid", "left")
          .withColumn("root", F.coalesce("root", "cid")))
     least = c.groupBy("root").agg(F.min("rep").alias("low"))
-    c = c.join(least, "root").select(
+    c = graph.spread_join(c, least, "root", "cid").select(
         "cid", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     alone = F.col("n_links").isNull()
     me = F.struct("doc_id", "text_hash")

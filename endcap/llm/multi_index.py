@@ -254,7 +254,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, recall: floa
          .join(comps.withColumnRenamed("node", "cid"), "cid", "left")
          .withColumn("root", F.coalesce("root", "cid")))
     least = c.groupBy("root").agg(F.min("low").alias("component_id"))
-    c = c.join(least, "root").select(
+    c = graph.spread_join(c, least, "root", "cid").select(
         "cid", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     linked = base.select("vec_id", "cid").join(c, "cid").select("vec_id", "n_links", "component_id")
     ok = usable() & (F.size("embedding") == length) & F.col("vec_id").isNotNull()
