@@ -3,8 +3,9 @@
 The base patterns are kept as they are found. Beyond them, candidates are strings of
 secret-like letters near a sensitive word. A candidate's novelty is the number of bytes
 that it adds to the compressed size of the text before it, with a zstandard dictionary
-of code and identifiers as history: names, words and repeated values are almost free,
-random strings cost about their entropy. Incompressible candidates are reported.
+of code and identifiers as history: names and words are almost free,
+random strings cost about their entropy. Incompressible candidates are reported. A value
+that is reported in a document is reported wherever else it stands in that document.
 
 Defined cases: null text is empty; rows are scanned each by itself whatever their other
 columns hold, so null and repeated ``doc_id`` are kept. Offsets count code points.
@@ -100,32 +101,90 @@ def _mixed_letters(s: str) -> bool:
         (any(c.isupper() for c in s)) >= 2
 
 
+def _blank(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with spaces in place of the spans, so that offsets stay."""
+    out, at = [], 0
+    for start, end in sorted(spans):
+        if end > at:
+            out += [text[at:max(at, start)], " " * (end - max(at, start))]
+            at = end
+    return "".join([*out, text[at:]])
+
+
+def _near(ends: list[int], start: int) -> bool:
+    k = bisect.bisect_right(ends, start)
+    return k > 0 and start - ends[k - 1] <= NEAR
+
+
 def novel_spans(text: str, base: list[Span], meter: Meter, threshold: float = NOVELTY
                 ) -> list[Span]:
-    """Incompressible strings in a sensitive context that no base span touches."""
+    """Incompressible strings in a sensitive context that no base span touches.
+
+    Base spans and candidates, near a sensitive word or not, are no history: a value that
+    stands twice does not become compressible by its other occurrence.
+    """
     ends = [w.end() for w in CONTEXT.finditer(text)]
     if not ends:
         return []
+    found = [m.span() for m in CANDIDATE.finditer(text) if _mixed_letters(m[0])]
+    history = _blank(text, [*found, *((b.start, b.end) for b in base)]) if found else text
     out = []
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
+    for start, end in found:
         k = bisect.bisect_right(ends, start)
-        if k == 0 or start - ends[k - 1] > NEAR:     # no word before it: one inside it?
+        if not _near(ends, start):                   # no word before it: one inside it?
             if k == len(ends) or end - ends[k] < LEAST:
                 continue
             start = ends[k]
         value = text[start:end]
         if any(b.start < end and start < b.end for b in base) or not _mixed_letters(value):
             continue
-        n = meter.novelty(text[max(0, start - 256):start], value)
+        n = meter.novelty(history[max(0, start - 256):start], value)
         if n >= threshold:
             out.append(Span("novel", start, end, value, n))
     return out
 
 
+def repeated_spans(text: str, spans: list[Span]) -> list[Span]:
+    """Other occurrences of the values of ``spans``, as novel spans.
+
+    Values of a fixed name=value pattern may be plain words: those without mixed letters
+    count as whole strings behind a sensitive word only, all other values everywhere.
+    """
+    values: dict[str, float | None] = {}
+    for s in spans:
+        m = ASSIGN.fullmatch(s.text) if s.kind == "assign" else None
+        values.setdefault(m[1] if m else s.text, s.novelty)
+    if not values:
+        return []
+    covered = bytearray(len(text))
+    for s in spans:
+        covered[s.start:s.end] = b"\1" * (s.end - s.start)
+    ends = [w.end() for w in CONTEXT.finditer(text)]
+    sure = {s.text for s in spans if s.kind != "assign"}
+    out = []
+    for value in sorted(values, key=lambda v: (-len(v), v)):
+        plain, n = value not in sure and not _mixed_letters(value), len(value)
+        at = text.find(value)
+        while at >= 0:
+            whole = not (_is_letter(text[at - 1:at]) or _is_letter(text[at + n:at + n + 1]))
+            if 0 in covered[at:at + n] and (not plain or (whole and _near(ends, at))):
+                out.append(Span("novel", at, at + n, value, values[value]))
+                covered[at:at + n] = b"\1" * n
+                at = text.find(value, at + n)
+            else:
+                at = text.find(value, at + 1)
+    return out
+
+
+def _is_letter(c: str) -> bool:
+    return c.isalnum() or (c != "" and c in "+/_=-")
+
+
 def scan_text(text: str | None, meter: Meter, threshold: float = NOVELTY) -> list[Span]:
-    base = base_spans(text or "")
-    spans = base + novel_spans(text or "", base, meter, threshold)
+    text = text or ""
+    spans = base_spans(text)
+    spans = spans + novel_spans(text, spans, meter, threshold)
+    spans += repeated_spans(text, spans)
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
