@@ -1,8 +1,9 @@
 """Secret scan: fixed patterns, and dictionary-primed zstandard novelty.
 
 The base patterns are kept as they are found. Beyond them, candidates are strings of
-secret-like letters near a sensitive word. A candidate's novelty is the number of bytes
-that it adds to the compressed size of the text before it, with a zstandard dictionary
+secret-like letters near a sensitive word on either side; of ``name=value`` both parts are
+candidates by themselves. A candidate's novelty is the number of bytes
+that it adds to the compressed size of the text around it, with a zstandard dictionary
 of code and identifiers as history: names and words are almost free,
 random strings cost about their entropy. Incompressible candidates are reported. A value
 that is reported in a document is reported wherever else it stands in that document.
@@ -32,12 +33,16 @@ ASSIGN = re.compile(rf"(?:{_EITHER}|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Letters that a candidate has at least.
-LEAST = 16
+LEAST = 8
+#: Letters below which capitalised or joined words without digits are names, not values.
+WORDS_BELOW = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 CONTEXT = re.compile(r"pass(?:word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|auth|bearer|"
                      r"credential|private|signature|\bkey\b", re.I | re.A)
-#: Letters of text before a candidate in which a sensitive word counts.
+#: Letters of text on either side of a candidate in which a sensitive word counts.
 NEAR = 48
+#: Letters of text on either side of a candidate that are its history.
+AROUND = 256
 #: Added compressed bytes per letter from which a string counts as incompressible; random
 #: letters and digits take about 0.75.
 NOVELTY = 0.6
@@ -96,9 +101,41 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
+PIECE = re.compile(r"[^=]+=*")
+_JOINT = re.compile(r"[_/+-]+|(?<=[a-z0-9])(?=[A-Z][a-z])")
+_WORD = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}|")
+_NAME = re.compile(r"(?:[A-Za-z]?[a-z]*|[A-Z]+)[0-9]{0,4}(?:[a-z]{2,}|[A-Z]{2,})?")
+
+
 def _mixed_letters(s: str) -> bool:
-    return (any(c.isdigit() for c in s)) + (any(c.islower() for c in s)) + \
-        (any(c.isupper() for c in s)) >= 2
+    low, up = s != s.upper(), s != s.lower()
+    return (low and up) or ((low or up) and any(c.isdigit() for c in s))
+
+
+def _joined(s: str, part: re.Pattern) -> bool:
+    return all(part.fullmatch(x) for x in _JOINT.split(s))
+
+
+def _is_name(s: str) -> bool:
+    """Whether the string is words joined to a name, of three letters a word on average."""
+    runs = [r for x in _JOINT.split(s) for r in re.findall("[A-Za-z]+", x)]
+    return _joined(s, _NAME) and sum(map(len, runs)) >= 3 * len(runs)
+
+
+def _pieces(text: str) -> list[tuple[int, int, bool]]:
+    """(start, end, whether it is the name of a following value) of candidates, parted at '='."""
+    out = []
+    for m in CANDIDATE.finditer(text):
+        if "=" not in m[0]:
+            if _mixed_letters(m[0]):
+                out.append((*m.span(), False))
+            continue
+        for p in PIECE.finditer(m[0]):
+            name = p.end() < len(m[0])
+            value = p[0].rstrip("=") if name else p[0]
+            if len(value) >= LEAST and _mixed_letters(value):
+                out.append((m.start() + p.start(), m.start() + p.start() + len(value), name))
+    return out
 
 
 def _blank(text: str, spans: list[tuple[int, int]]) -> str:
@@ -111,9 +148,36 @@ def _blank(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _near(ends: list[int], start: int) -> bool:
-    k = bisect.bisect_right(ends, start)
-    return k > 0 and start - ends[k - 1] <= NEAR
+class _Words(NamedTuple):
+    """Places of the sensitive words of a text."""
+
+    starts: list[int]
+    ends: list[int]
+
+    @classmethod
+    def of(cls, text: str) -> _Words:
+        found = [m.span() for m in CONTEXT.finditer(text)]
+        return cls([a for a, _ in found], [b for _, b in found])
+
+    def near(self, start: int, end: int) -> bool:
+        """Whether a word overlaps the span or stands close on either side."""
+        k = bisect.bisect_left(self.ends, start - NEAR)
+        return k < len(self.ends) and self.starts[k] <= end + NEAR
+
+    def last_inside(self, start: int, end: int) -> tuple[int, int] | None:
+        k = bisect.bisect_right(self.ends, end) - 1
+        return (self.starts[k], self.ends[k]) if k >= 0 and self.starts[k] >= start else None
+
+
+def _value_starts(text: str, start: int, end: int, words: _Words) -> list[int]:
+    """Where a value may start: behind a name with a sensitive word, if that is one surely."""
+    word = words.last_inside(start, end)
+    if word is None:
+        return [start]
+    at, behind = word
+    edge = (at == start or not text[at - 1].isalpha()
+            or (text[at - 1].islower() and text[at].isupper()))
+    return [behind] if edge and _is_name(text[start:behind]) else [start, behind]
 
 
 def novel_spans(text: str, base: list[Span], meter: Meter, threshold: float = NOVELTY
@@ -123,24 +187,30 @@ def novel_spans(text: str, base: list[Span], meter: Meter, threshold: float = NO
     Base spans and candidates, near a sensitive word or not, are no history: a value that
     stands twice does not become compressible by its other occurrence.
     """
-    ends = [w.end() for w in CONTEXT.finditer(text)]
-    if not ends:
+    words = _Words.of(text)
+    found = _pieces(text) if words.ends else []
+    if not found:
         return []
-    found = [m.span() for m in CANDIDATE.finditer(text) if _mixed_letters(m[0])]
-    history = _blank(text, [*found, *((b.start, b.end) for b in base)]) if found else text
+    spans = [(b.start, b.end) for b in base]
+    history = _blank(text, [*((a, b) for a, b, _ in found), *spans])
+    taken = bytearray(len(text))
+    for a, b in spans:
+        taken[a:b] = b"\1" * (b - a)
     out = []
-    for start, end in found:
-        k = bisect.bisect_right(ends, start)
-        if not _near(ends, start):                   # no word before it: one inside it?
-            if k == len(ends) or end - ends[k] < LEAST:
-                continue
-            start = ends[k]
-        value = text[start:end]
-        if any(b.start < end and start < b.end for b in base) or not _mixed_letters(value):
+    for first, end, name in found:
+        if not words.near(first, end) or 1 in taken[first:end] or (
+                name and _is_name(text[first:end])):
             continue
-        n = meter.novelty(history[max(0, start - 256):start], value)
-        if n >= threshold:
-            out.append(Span("novel", start, end, value, n))
+        for start in _value_starts(text, first, end, words):
+            value = text[start:end]
+            if len(value) < LEAST or not _mixed_letters(value) or (
+                    len(value) < WORDS_BELOW and _joined(value, _WORD)):
+                continue
+            n = meter.novelty(history[end:end + AROUND] + history[max(0, start - AROUND):start],
+                              value)
+            if n >= threshold:
+                out.append(Span("novel", start, end, value, n))
+                break
     return out
 
 
@@ -148,7 +218,7 @@ def repeated_spans(text: str, spans: list[Span]) -> list[Span]:
     """Other occurrences of the values of ``spans``, as novel spans.
 
     Values of a fixed name=value pattern may be plain words: those without mixed letters
-    count as whole strings behind a sensitive word only, all other values everywhere.
+    count as whole strings near a sensitive word only, all other values everywhere.
     """
     values: dict[str, float | None] = {}
     for s in spans:
@@ -159,7 +229,7 @@ def repeated_spans(text: str, spans: list[Span]) -> list[Span]:
     covered = bytearray(len(text))
     for s in spans:
         covered[s.start:s.end] = b"\1" * (s.end - s.start)
-    ends = [w.end() for w in CONTEXT.finditer(text)]
+    words = _Words.of(text)
     sure = {s.text for s in spans if s.kind != "assign"}
     out = []
     for value in sorted(values, key=lambda v: (-len(v), v)):
@@ -167,7 +237,7 @@ def repeated_spans(text: str, spans: list[Span]) -> list[Span]:
         at = text.find(value)
         while at >= 0:
             whole = not (_is_letter(text[at - 1:at]) or _is_letter(text[at + n:at + n + 1]))
-            if 0 in covered[at:at + n] and (not plain or (whole and _near(ends, at))):
+            if 0 in covered[at:at + n] and (not plain or (whole and words.near(at, at + n))):
                 out.append(Span("novel", at, at + n, value, values[value]))
                 covered[at:at + n] = b"\1" * n
                 at = text.find(value, at + n)

@@ -385,6 +385,35 @@ def random_letters(seed, n):
     return "".join(r.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), n))
 
 
+def test_values_behind_names_short_ones_and_context_on_either_side():
+    meter = secret_scan.Meter()
+    far = " and so on" * 9
+
+    def novel(text):
+        return [x.text for x in secret_scan.scan_text(text, meter) if x.kind == "novel"]
+
+    for k in range(20):
+        for n in (12, 20, 40):
+            s = random_letters(20 + k, n)
+            assert novel(f"# credentials\nAWS_SECRET_ACCESS_KEY={s}\n") == [s]
+            assert novel(f"{far} export MY_API_KEY_V2={s}==\n") == [f"{s}=="]
+            assert novel(f"secretAccessKey_{s} ") == [f"_{s}"]
+            assert novel(f"{s} is the password{far}") == [s]
+            assert novel(f"{s}{far} the password") == []
+            assert novel(f"Bearer {s}=next") == [s]
+        s = random_letters(60 + k, 10) + "7x"
+        assert novel(f"Authorization: Bearer {s} end") == [s]
+    assert novel("token=ab, private key q7Rt2mZx") == ["q7Rt2mZx"]
+    for name in ("the password Required here", "auth: getElement", "token my_service_v2_url=1",
+                 "AWS_SECRET_ACCESS_KEY=changeme", "password 2024-01-15 555-1234"):
+        assert novel(name) == []
+    # a sensitive word inside a random value does not cut it
+    assert novel("Bearer x9Kq2mTbpwdR7vZ3nLw8") == ["x9Kq2mTbpwdR7vZ3nLw8"]
+    # text behind a value is history as text before it is
+    name = "settings_2_Loader_3_Factory"
+    assert meter.novelty(f"{name} ", name) < secret_scan.NOVELTY
+
+
 def test_repeated_values_are_masked_everywhere():
     meter, s, t = secret_scan.Meter(), random_letters(11, 32), random_letters(12, 32)
     near = t[:-1] + ("a" if t[-1] != "a" else "b")
