@@ -1,8 +1,12 @@
-"""Run settings. Every default equals the published command-line default."""
+"""Run settings.
+
+Defaults equal the published command-line defaults, but strings are compared whole;
+``Settings.published`` has the published prefixes.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 # Labels of reads without an anchor, and the order of chromosomes.
 UNANCHORED = "chrUq"
@@ -17,13 +21,19 @@ GENOME_BP = 3.1e9
 
 @dataclass(frozen=True)
 class ClusterStep:
-    """One clustering pass: compared prefix, shuffles behind the null score, cut."""
+    """One clustering pass: compared prefix, shuffles behind the null score, cut.
+
+    A prefix of 0 or less stands for the whole string.
+    """
 
     prefix: int
     shuffles: int
     cut: float
 
 
+PUBLISHED_PREFIXES = {"step0": 1000, "step1": 2000, "step2": 3000, "subtel": 3000, "final": 1000}
+
+
 @dataclass(frozen=True)
 class Settings:
     read_type: str = "ont"
@@ -43,12 +53,12 @@ class Settings:
     min_interstitial: int = 100
     min_fusion_flank: int = 1000
     # clustering
-    step0: ClusterStep = ClusterStep(1000, 2, 0.200)
-    step1: ClusterStep = ClusterStep(2000, 3, 0.150)
-    step2: ClusterStep = ClusterStep(3000, 3, 0.100)
+    step0: ClusterStep = ClusterStep(-1, 2, 0.200)
+    step1: ClusterStep = ClusterStep(-1, 3, 0.150)
+    step2: ClusterStep = ClusterStep(-1, 3, 0.100)
     collapse: ClusterStep = ClusterStep(-1, 3, 0.050)
-    subtel: ClusterStep = ClusterStep(3000, 3, 0.200)
-    final: ClusterStep = ClusterStep(1000, 1, 100.0)
+    subtel: ClusterStep = ClusterStep(-1, 3, 0.200)
+    final: ClusterStep = ClusterStep(-1, 1, 100.0)
     near_cut: float = 0.050
     near_bp: int = 1000
     msa_reads: int = 10
@@ -71,6 +81,13 @@ class Settings:
         if self.min_reads < 1:
             raise ValueError("min_reads must be at least 1")
 
+    @classmethod
+    def published(cls, **others) -> Settings:
+        """Settings with the published prefixes of compared strings."""
+        got = cls(**others)
+        return replace(got, **{name: replace(getattr(got, name), prefix=n)
+                               for name, n in PUBLISHED_PREFIXES.items() if name not in others})
+
     def refine_steps(self) -> list[ClusterStep]:
         if self.fast:
             return [ClusterStep(self.step2.prefix, 1, self.step2.cut)]
