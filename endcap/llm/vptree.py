@@ -29,8 +29,8 @@ from endcap.llm.vectors import matrix, valid
 
 #: Vectors of one shard, queries of one block, vectors of one leaf.
 SHARD, BLOCK, LEAF = 8_192, 4_096, 128
-#: Pruning: measured recall against brute force is in the README.
-FACTOR = 4.0
+#: Pruning: one never leaves out a nearest neighbour.
+FACTOR = 1.0
 
 
 def extended(x: np.ndarray) -> np.ndarray:

@@ -144,6 +144,20 @@ def test_larger_factors_trade_recall(spark):
     assert 0.3 < len(full & set(zip(*some[:2]))) / len(full) <= 1
 
 
+def test_production_factor_keeps_neighbours_of_low_dimension():
+    r = np.random.default_rng(8)
+    plane = np.linalg.qr(r.normal(size=(64, 3)))[0].T
+    centres = r.normal(size=(40, 3)) * 3
+    x = (centres[r.integers(0, 40, 6000)] + r.normal(size=(6000, 3)) * 0.5) @ plane
+    ids = np.arange(6000)
+    s = x[::30] @ x.T
+    s[np.arange(200), ids[::30]] = -np.inf
+    best = np.sort(s, axis=1)[:, -20]
+    who, got, score = vptree.shard_best(ids, x, ids[::30], x[::30], 20, vptree.FACTOR)[:3]
+    hit = s[who, got] >= best[who] - 1e-9
+    assert len(got) == 200 * 20 and hit.mean() >= 0.9
+
+
 def plain_near(rows, threshold=0.9):
     ok = [k for k, (i, v) in enumerate(rows) if i is not None and v and len(v) == 10
           and None not in v and np.isfinite(v).all() and any(v)]
