@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from endcap.llm import (
+    bpe,
+    filter_audit,
     jaccard_join,
     mixing,
     multi_index,
     packing,
+    prefix_trie,
     quality,
     secret_scan,
     sharding,
@@ -70,7 +73,20 @@ def op10_pivotal_mixing(spark: SparkSession, d: str) -> DataFrame:
                       (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_segment_tree_bpe(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encoded(table(spark, d, "documents"), with_ids=False)
+
+
+def op12_double_array_trie(spark: SparkSession, d: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(prefix_trie.rebuilt(table(spark, d, "conversations")))
+
+
+def op13_lehmer_rank_audit(spark: SparkSession, d: str) -> DataFrame:
+    return filter_audit.audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_sum_of_squares_packing, op2_bounded_ring,
                                    op3_level_wise_doubling, op4_chosen_path_join, op5_fourier_quality, op6_vantage_point_search,
                                    op7_inverted_multi_index, op8_boosted_toxicity,
-                                   op9_novelty_secrets, op10_pivotal_mixing)}
+                                   op9_novelty_secrets, op10_pivotal_mixing, op11_segment_tree_bpe,
+                                   op12_double_array_trie, op13_lehmer_rank_audit)}
