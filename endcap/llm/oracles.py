@@ -43,6 +43,20 @@ select m.doc_id, m.component_id, coalesce(l.n_links, 0)::bigint as n_links,
 from m left join l using (doc_id)
 """
 
+VANTAGE_POINTS = """
+with v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+n as (
+  select vec_id, e from v
+  where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(e, lambda x: x <> 0)) > 0),
+p as (
+  select a.vec_id as query_id, b.vec_id, list_inner_product(a.e, b.e) as score
+  from n a, n b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id),
+r as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p)
+select query_id, rank::integer as rank, vec_id, score from r where rank <= 20
+"""
+
 MULTI_INDEX = """
 with recursive v as (
   select vec_id, cast(embedding as double[]) as e from embeddings),
@@ -145,5 +159,6 @@ from r
 """
 
 ORACLES = {"op3_level_wise_doubling": LEVEL_WISE_DOUBLING, "op4_chosen_path_join": CHOSEN_PATH,
+           "op6_vantage_point_search": VANTAGE_POINTS,
            "op7_inverted_multi_index": MULTI_INDEX,
            "op12_double_array_trie": DOUBLE_ARRAY_TRIE, "op13_lehmer_rank_audit": LEHMER_RANK_AUDIT}

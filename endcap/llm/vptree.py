@@ -3,9 +3,13 @@
 One more component, sqrt(M^2 - |x|^2) with M the largest norm of a shard, makes all its
 vectors equally long, so that the largest inner product is the smallest distance and the
 triangle inequality holds. A node of a tree keeps a vantage point and the median distance
-to it. A query goes first to the side it is on; the other side is left out if
-``factor`` times the distance to the border exceeds the query's current k-th distance.
-Factor one never leaves out a nearest neighbour; larger ones prune more and may miss some.
+to it. A query goes first to the side it is on. What lies ``factor`` times the distance to the
+border away bounds the inner products behind the border; the other side is left out if
+they are all below the query's current k-th one, by more than rounding can move either.
+Factor one never leaves out a neighbour; larger ones prune more and may miss some.
+
+A query carries its best as (score, id), the smaller id first among equal scores, through all
+leaves, so any number of candidates with the score at the border is settled by id.
 
 Shards and blocks of queries have bounded size, every pair of them is one task, and only
 the best of each task are merged. Scores are computed on the original vectors in double
@@ -43,7 +47,7 @@ class Tree:
     """A vantage-point tree over the rows of ``x`` (extended vectors)."""
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF, seed: int = 1) -> None:
-        self.x, self.leaf = x, leaf
+        self.x, self.leaf = x, leaf                  # rows are equally long
         self.rng = np.random.default_rng(seed)
         self.nodes: list[tuple] = []                 # (point, border, near, far) or rows
         self.root = self._build(np.arange(len(x)))
@@ -65,17 +69,36 @@ class Tree:
         self.nodes[at] = (point, border, near, far)
         return at
 
-    def search(self, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the k nearest of each query (-1 where there are fewer), and distances."""
-        best = np.full((len(q), k), -1, np.int64)
-        dist = np.full((len(q), k), np.inf)
+    def search(self, q: np.ndarray, low: np.ndarray, k: int, factor: float
+               ) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the k best of each query (extended by 0), by score and then by ``low`` of the
+        row, in order; -1 and a score of -inf where there are fewer."""
+        n = len(q)
+        best, score = np.full((n, k), -1, np.int64), np.full((n, k), -np.inf)
+        if not n or not len(self.x):
+            return best, score
+        length = np.sqrt((q**2).sum(axis=1) + (self.x[0]**2).sum())     # of |q| and |x| together
+        slip = q.shape[1] * 2.0**-50                 # rounding of a sum of products, relative
 
         def look(rows: np.ndarray, who: np.ndarray) -> None:
-            d = np.concatenate([dist[who], _distance(q[who], self.x[rows])], axis=1)
-            r = np.concatenate([best[who], np.broadcast_to(rows, (len(who), len(rows)))], axis=1)
-            pick = np.argpartition(d, k - 1, axis=1)[:, :k]
-            i = np.arange(len(who))[:, None]
-            dist[who], best[who] = d[i, pick], r[i, pick]
+            about = q[who] @ self.x[rows].T
+            far = about >= (score[who, -1] - slip * length[who]**2)[:, None]
+            w, r = np.nonzero(far)
+            if not len(w):
+                return
+            some = np.unique(w)
+            w, r = np.searchsorted(some, w), rows[r]
+            who = who[some]
+            there = np.repeat(np.arange(len(who)), k)
+            w = np.concatenate([there, w])
+            s = np.concatenate([score[who].ravel(), inner(q[who[w[len(there):]]], self.x[r])])
+            r = np.concatenate([best[who].ravel(), r])
+            order = np.lexsort((low[r], -s, w))      # row -1 has score -inf: its id is never asked
+            w, s, r = w[order], s[order], r[order]
+            place = np.arange(len(w)) - np.searchsorted(w, w)
+            kept = place < k
+            score[who] = s[kept].reshape(-1, k)
+            best[who] = r[kept].reshape(-1, k)
 
         def visit(at: int, who: np.ndarray) -> None:
             node = self.nodes[at]
@@ -84,17 +107,26 @@ class Tree:
                 return
             point, border, near, far = node
             gap = _distance(q[who], self.x[point][None])[:, 0] - border
+            clear = np.maximum(np.abs(gap) * factor - 2 * np.sqrt(slip) * length[who], 0)
+            most = (length[who]**2 * (1 + slip) - clear**2) / 2     # of the products behind it
             for side, other, mine in ((near, far, gap <= 0), (far, near, gap > 0)):
                 if not mine.any():
                     continue
                 visit(side, who[mine])
-                back = mine & (np.abs(gap) * factor <= dist[who].max(axis=1) + 1e-7)
+                back = mine & (most >= score[who, -1] - slip * length[who]**2)
                 if back.any():
                     visit(other, who[back])
 
-        if len(q) and len(self.x):
-            visit(self.root, np.arange(len(q)))
-        return best, dist
+        visit(self.root, np.arange(n))
+        return best, score
+
+
+def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner product of each pair of rows, summed up from the first component on."""
+    out = np.zeros(len(a))
+    for c in range(a.shape[1]):
+        out += a[:, c] * b[:, c]
+    return out
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,18 +148,18 @@ def shard_best(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray,
                factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of queries, ids and scores of the best k of a shard for each query.
 
-    Equal vectors are searched as one; each stands for its k + 1 least ids.
+    Equal vectors are searched as one, by their least id; each of the k + 1 best stands for
+    its k + 1 least ids (one more than asked, as the query's own row falls away).
     """
-    u, first, code = np.unique(x, axis=0, return_index=True, return_inverse=True)
+    u, code = np.unique(x, axis=0, return_inverse=True)
     code = code.ravel()
     order = np.argsort(code, kind="stable")          # ids ascend within equal vectors
     start = np.searchsorted(code[order], np.arange(len(u) + 1))
-    tree = Tree(extended(u))
     zeros = np.zeros((len(q), 1))
-    got, _ = tree.search(np.concatenate([q, zeros], axis=1), min(k + 1, len(u)), factor)
+    got, found = Tree(extended(u)).search(np.concatenate([q, zeros], axis=1), ids[order[start[:-1]]],
+                                          min(k + 1, len(u)), factor)
     who, place = np.nonzero(got >= 0)
-    vec = got[who, place]
-    score = (q[who] * u[vec]).sum(axis=1)
+    vec, score = got[who, place], found[who, place]
     count = np.minimum(start[vec + 1] - start[vec], k + 1)
     w = np.repeat(np.arange(len(vec)), count)
     inner = np.arange(len(w)) - np.repeat(np.cumsum(count) - count, count)

@@ -120,12 +120,51 @@ def test_factor_one_is_exact(spark, vectors, shard, block):
     x = np.array([v for _, v in vectors[:400]], np.float32).astype(np.float64)
     assert set(got.query_id) == set(range(0, 400, 20))
     for q, g in got.sort_values("rank").groupby("query_id"):
-        s = (x * x[q]).sum(axis=1)
+        s = sum((x[:, c] * x[q, c] for c in range(10)), np.zeros(400))   # in the order of SQL
         order = [i for i in np.lexsort((np.arange(400), -s)) if i != q][:20]
         assert g.vec_id.tolist() == order and g["rank"].tolist() == list(range(1, 21))
         np.testing.assert_array_equal(g.score.to_numpy(), s[order])
 
 
+def exact(x, q, k):
+    s = np.zeros((len(q), len(x)))
+    for c in range(x.shape[1]):
+        s += x[q][:, c][:, None] * x[:, c]
+    s[np.arange(len(q)), q] = -np.inf
+    order = np.lexsort((np.broadcast_to(np.arange(len(x)), s.shape), -s))[:, :k]
+    return order, np.take_along_axis(s, order, axis=1)
+
+
+@pytest.mark.parametrize("kind", ["one-hot", "equal scores", "grid", "norms", "common"])
+def test_ties_go_to_the_smaller_id(kind):
+    r = np.random.default_rng(5)
+    if kind == "one-hot":
+        x = np.eye(64)
+    elif kind == "equal scores":                     # distinct vectors, all of score 0.5 with the first
+        x = np.concatenate([[[1.0, 0, 0]], np.c_[np.full(900, 0.5), r.normal(size=(900, 2))]])
+    elif kind == "grid":
+        x = r.integers(-2, 3, size=(1500, 4)).astype(float)
+        x = x[(x != 0).any(axis=1)]
+    elif kind == "norms":
+        x = r.normal(size=(1200, 6)) * 10.0 ** r.integers(-6, 8, size=(1200, 1))
+    else:
+        x = np.concatenate([r.integers(0, 2, size=(300, 5)) + 1.0, np.ones((700, 5))])
+        x = x[r.permutation(len(x))]
+    q = np.arange(0, len(x), 3)
+    want, score = exact(x, q, 20)
+    for cut in (10**9, 97):                          # one shard, and several merged by (score, id)
+        parts = []
+        for lo in range(0, len(x), cut):
+            ids = np.arange(lo, min(lo + cut, len(x)))
+            parts.append(np.stack(vptree.shard_best(ids, x[ids], q, x[q], 20, 1.0)))
+        who, cid, s = np.concatenate(parts, axis=1)
+        order = np.lexsort((cid, -s, who))
+        who, cid, s = who[order], cid[order], s[order]
+        kept = np.arange(len(who)) - np.searchsorted(who, who) < 20
+        np.testing.assert_array_equal(cid[kept].reshape(len(q), -1), want)
+        np.testing.assert_array_equal(s[kept].reshape(len(q), -1), score)
+
+
 def test_few_candidates_and_none(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0]), (20, [0.0, 1.0])]
     got = vptree.nearest(frame(spark, rows)).toPandas()
