@@ -487,6 +487,37 @@ def test_words_come_near_the_targets(spark, odd):
     assert mixing.mix_rows(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 17, 40])
+def test_repeated_rows_miss_the_target_by_less_than_a_document(spark, seed, monkeypatch):
+    monkeypatch.setattr(mixing, "WRITE", 16)             # repeated rows are written in blocks
+    rows = [(1, prose(1, 100), "a")] * 100 + [(100 + k, prose(k, 10), "a") for k in range(100)]
+    rows += [(2, prose(2, 50), "b")] * 60 + [(None, None, None)] * 9
+    docs = frame(spark, rows).withColumn("lang", F.when(F.rand(3) < 0.3, "fr").otherwise("en"))
+    got = mixing.mixed(docs, seed=seed).toPandas()
+    assert len(got) == len(rows)
+    for source, g in got.groupby("source"):
+        assert abs((g.copies * g["size"]).sum() - g.target.iloc[0]) < g["size"].max()
+        hot = g[g["size"] >= 50].copies
+        assert hot.max() - hot.min() <= 1
+    again = mixing.mixed(docs.repartition(3), seed=seed).toPandas()
+    key = ["doc_id", "copies"]
+    assert sorted(map(str, got[key].values)) == sorted(map(str, again[key].values))
+    mixed = mixing.mix_rows(docs, share=1.5).toPandas()
+    want = mixing.mixed(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).toPandas()
+    want = {str(d): n for d, n in zip(want.doc_id, want.n) if n}
+    assert {str(d): n for d, n in mixed.groupby("doc_id", dropna=False).size().items()} == want
+    assert list(mixed.columns) == docs.columns
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcdefghij"), st.integers(0, 1000), min_size=1))
+def test_targets_of_any_sizes(spark, sizes):
+    rows = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    got = {r.source: r.target for r in mixing.source_targets(rows).collect()}
+    for s, t in plain_targets(sizes).items():
+        assert abs(got[s] - t) < 1e-6
+
+
 def test_pivot_keeps_the_sum_and_the_expectation():
     r = np.random.default_rng(2)
     sizes, parts = r.integers(1, 50, 40).astype(float), r.uniform(0.05, 0.95, 40)
