@@ -5,7 +5,9 @@ bounded size by a hash; inside a group the longest come first, and each goes whe
 squared counts of open bins per residual gap become smallest: into an open bin, or into a
 new one as long as the group has opened fewer than four fifths of the bins its tokens need.
 (Past that number a new bin is opened only if the piece fits nowhere, which lets the short
-pieces fill the bins at the end instead of leaving many bins half open.)
+pieces fill the bins at the end instead of leaving many bins half open.) Where that takes
+more bins than the group's tokens need, the group is tried once more, the bin with the
+smallest gap left winning among open ones, and the result with fewer bins is kept.
 
 Defined cases: null text counts as empty, an empty text is one piece holding the end id
 only; null and repeated ``doc_id`` are kept, each row on its own; other columns of the
@@ -97,8 +99,12 @@ def token_pieces(docs: DataFrame, length: int = 2048, with_ids: bool = False,
             .mapInArrow(run, PIECES + (", ids array<int>" if with_ids else "")))
 
 
-def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of each item, items taken in the given order."""
+def sum_of_squares(sizes: np.ndarray, capacity: int, fit: bool = False
+                   ) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of each item, items taken in the given order.
+
+    ``fit`` places by the gap left alone: the smallest one, a new bin only where none is open.
+    """
     never = 1 << 60
     count = np.zeros(capacity + 1, np.int64)          # open bins per residual gap
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -110,9 +116,9 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
         change = np.where(have > 0, 2 * (count[:capacity + 1 - s] - have) + 2, never)
         if have[0]:
             change[0] = 1 - 2 * have[0]               # filled to the end: leaves the sum
-        left = int(change.argmin())
+        left = int((have > 0).argmax() if fit else change.argmin())
         fresh = 2 * int(count[capacity - s]) + 1 if s < capacity else 0
-        if change[left] >= never or (opened < free and fresh < change[left]):
+        if change[left] >= never or (not fit and opened < free and fresh < change[left]):
             b, at, left = opened, 0, capacity - s
             opened += 1
         else:
@@ -125,6 +131,15 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets
 
 
+def fewest(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """``sum_of_squares``, tried again by the gap alone if the tokens would need fewer bins."""
+    got = sum_of_squares(sizes, capacity)
+    if len(sizes) and got[0].max() >= -(-int(sizes.sum()) // capacity):
+        again = sum_of_squares(sizes, capacity, fit=True)
+        got = min(got, again, key=lambda x: int(x[0].max()))
+    return got
+
+
 def pack(pieces: DataFrame, length: int = 2048, group: int = GROUP) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows of pieces.
 
@@ -140,7 +155,7 @@ def pack(pieces: DataFrame, length: int = 2048, group: int = GROUP) -> DataFrame
         key = [t[c].to_numpy(zero_copy_only=False) for c in ("ids_crc32", "piece", "length")]
         doc = t["doc_id"].fill_null(-1).to_numpy(zero_copy_only=False)
         order = np.lexsort((key[0], key[1], doc, -key[2]))
-        bins, offsets = sum_of_squares(key[2][order], length)
+        bins, offsets = fewest(key[2][order], length)
         t = t.take(pa.array(order)).select(names)
         t = t.append_column("sequence_id", pa.array((np.int64(number) << 32) + bins))
         return t.append_column("offset", pa.array(offsets))

@@ -142,6 +142,19 @@ def plain_sum_of_squares(sizes, cap):
     return out, bins
 
 
+def test_fewest_bins_never_exceed_either_rule():
+    r = np.random.default_rng(7)
+    for n in (0, 1, 5, 400, 3000):
+        sizes = np.sort(r.integers(1, 2049, n) if n % 2 else r.integers(1, 500, n))[::-1]
+        bins, offsets = packing.fewest(sizes, 2048)
+        tried = [packing.sum_of_squares(sizes, 2048, fit)[0] for fit in (False, True)]
+        assert len(set(bins.tolist())) == min(len(set(b.tolist())) for b in tried)
+        ends: dict = {}
+        for b, s, o in zip(bins.tolist(), sizes.tolist(), offsets.tolist()):
+            assert ends.get(b, 0) == o and o + s <= 2048          # gapless from 0
+            ends[b] = o + s
+
+
 def test_sum_of_squares_is_least_at_each_step():
     r = np.random.default_rng(3)
     for _ in range(20):
