@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder the session names; a scratch folder only on local runs."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder the session names; a scratch folder only on local runs that name none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not sc.master.startswith("local"):
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A path beneath the checkpoints that nothing else uses."""
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Checkpoint to the session's folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
