@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from endcap.functions.durable import shared_folder
 from endcap.functions.ship import ship
 from endcap.llm import jaccard_join, mixing, packing, secret_scan, toxicity
 
@@ -59,8 +60,11 @@ STAGES = [(name, _shipped(stage)) for name, stage in (
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, one behind the other."""
+    """All stages over the documents of ``sf_dir``, each written to a fresh folder beside the
+    checkpoints and read again by the next one; the last one's frame is returned."""
+    folder = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/stage-{k}")
+        docs = spark.read.parquet(f"{folder}/stage-{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)
