@@ -61,7 +61,6 @@ class Settings:
     final: ClusterStep = ClusterStep(-1, 1, 100.0)
     near_cut: float = 0.050
     near_bp: int = 1000
-    msa_reads: int = 10
     fast: bool = False
     skip_subtel: bool = False
     seed: int = 12345

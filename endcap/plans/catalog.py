@@ -268,8 +268,7 @@ def msa_consensus(spark, d):
     members = (kept_reads(spark, d)
                .withColumn("cid", F.concat_ws("/", "sample", F.col("al").cast("string")))
                .select("cid", "rid", "tvrtel"))
-    got = co.cluster_consensus(durable(members), m, SETTINGS.final.shuffles,
-                               SETTINGS.final.prefix, SETTINGS)
+    got = co.cluster_consensus(members, m)
     return got.select("cid", F.length("consensus").alias("len"), "tvr_len")
 
 
