@@ -272,6 +272,13 @@ def msa_consensus(spark, d):
     return got.select("cid", F.length("consensus").alias("len"), "tvr_len")
 
 
+def noisy_consensus(spark, d):
+    """Consensus of strings with errors, one cluster per source, all strings heard."""
+    got = co.cluster_consensus(planted.noisy_strings(spark, d), motif_table())
+    variant = F.rtrim("consensus", F.lit("C"))
+    return got.select("cid", F.length(variant).alias("len"), F.md5(variant).alias("variant_md5"))
+
+
 def called_alleles(spark, d):
     got = calling.call_alleles(planted.reads(spark, d), motif_table(), SETTINGS)
     return got.heads.select("aid", "n_reads", "tl", "tvr_len",
@@ -470,7 +477,8 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     motif_hits, motif_hits_nonoverlap, motif_hits_final, canonical_bases, density_window,
     tel_regions, terminal_tl, read_filter_flags, fusion_flanks, color_vector, rle_runs, denoise,
     density_boundary, cumulative_boundary, subtel_tvr_split, pair_distance, tvr_clusters,
-    equal_variants, clustered_reads, column_consensus, msa_consensus, called_alleles, cigar_parse, sam_orient,
+    equal_variants, clustered_reads, column_consensus, msa_consensus, noisy_consensus,
+    called_alleles, cigar_parse, sam_orient,
     best_alignment, anchor_scores, anchor_calls, interstitial_annotate, fusion_calls,
     match_trimming, allele_rows, tl_estimators, near_alleles, allele_collapse,
     allele_filter_reasons, report_classes, final_order, read_n50, summary_metrics,

@@ -490,6 +490,9 @@ from m"""
 select sample, count(case when k23 = 7 then 1 end) as short_tel, cast(0 as bigint) as nontel,
   cast(0 as bigint) as short_subtel, count(case when k23 <> 7 then 1 end) as keep
 from truth group by sample"""
+    q["noisy_consensus"] = f"""
+with truth as ({planted.NOISY_TRUTH})
+select cid, length(variant) as len, md5(variant) as variant_md5 from truth"""
     q["equal_variants"] = TRUTH + """
 select sample as gid, count(*) as n, min(rid) as least_rid from truth where k23 <> 7
 group by sample, al"""

@@ -53,6 +53,33 @@ select rid, rid as ord, sample, name, al,
 from turned
 """
 
+# a string of variant letters per source, and a canonical tail that differs from row to row
+NOISY_TRUTH = """
+select distinct source as cid,
+  translate(concat(md5(concat('a', source)), md5(concat('b', source)), md5(concat('c', source)),
+                   md5(concat('d', source)), md5(concat('e', source))),
+            '0123456789abcdef', 'DEFGDEFGDEFGDEFG') as variant
+from documents where source is not null
+"""
+
+
+def noisy_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cid, rid, tvrtel): one string per document, its source's letters with 3.5 errors in a
+    hundred (substitutions, deletions and insertions in equal shares, told by hashes)."""
+    docs = table(spark, sf_dir, "documents").where("source is not null")
+    truth = spark.sql(NOISY_TRUTH.replace("from documents", "from {src}"), src=docs)
+    whole = docs.select(F.col("source").alias("cid"), F.col("doc_id").alias("rid")).join(
+        truth, "cid").selectExpr("cid", "rid", "concat(variant, repeat('C', cast(100 + rid % 61 as int))) as t")
+    letter = "translate(substr(h, 3, 1), '0123456789abcdef', 'DEFGDEFGDEFGDEFG')"
+    return whole.selectExpr("cid", "rid", f"""array_join(transform(
+      transform(sequence(1, length(t)), i -> struct(substr(t, i, 1) as x,
+                                                    md5(concat(rid, ':', i)) as h)),
+      s -> case when substr(s.h, 1, 2) < '03' then {letter.replace('h,', 's.h,')}
+                when substr(s.h, 1, 2) < '06' then ''
+                when substr(s.h, 1, 2) < '09' then concat(s.x, {letter.replace('h,', 's.h,')})
+                else s.x end), '') as tvrtel""")
+
+
 SAM = """
 select event_id as aln_no,
   case when user_id % 11 = 0
