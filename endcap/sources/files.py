@@ -43,29 +43,46 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """Strict four-line FASTQ records.
+    """Strict four-line FASTQ records. Splittable: records part at a line starting with '@'.
 
-    Line numbers come from the line counts of the splits before, so records may cross
-    splits; an '@' at the start of a quality line does no harm.
+    A quality line may start so too. Then the record comes as two pieces behind one another,
+    of three lines and of one; only such pieces are shuffled. They meet by their row number,
+    and where a split ends between them by their order among the few pieces left.
     """
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("blk"),
-        F.monotonically_increasing_id().alias("mid"))
-    splits = lines.groupBy("file", "blk").agg(F.count(F.lit(1)).alias("n"),
-                                              F.min("mid").alias("first"))
-    before = F.sum("n").over(Window.partitionBy("file").orderBy("blk")) - F.col("n")
-    splits = splits.withColumn("before", before)
-    no = F.col("before") + F.col("mid") - F.col("first")
-    numbered = lines.join(splits, ["file", "blk"]).select(
-        "file", F.floor(no / 4).alias("ord"), (no % 4).alias("part"), F.trim("value").alias("v"))
-    got = numbered.groupBy("file", "ord").agg(*[
-        F.max(F.when(F.col("part") == k, F.col("v"))).alias(c)
-        for k, c in ((0, "head"), (1, "seq"), (3, "qual"))])
-    return got.select("file", "ord", _name(F.expr("substring(head, 2)")).alias("name"),
-                      F.coalesce("seq", F.lit("")).alias("seq"),
-                      F.coalesce("qual", F.lit("")).alias("qual"),
-                      F.lit(False).alias("is_sup")).where("name <> ''")
+    raw = spark.read.option("lineSep", "\n@").text(path).select(
+        F.regexp_replace("value", r"[\r\n]+\z", "").alias("value"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("blk"),
+        _position().alias("ord"))
+    # the first record's own '@' is still there
+    first = (F.col("blk") == 0) & F.col("value").rlike(r"^@[^\n]*\n")
+    lines = F.split(F.when(first, F.substring("value", 2, 1 << 30)).otherwise(F.col("value")), r"\r?\n")
+    pieces = raw.select("file", "blk", "ord", lines.alias("l"), F.size(lines).alias("n"))
+
+    def records(df: DataFrame, qual: Column) -> DataFrame:
+        return df.select("file", "ord", _name(F.col("l")[0]).alias("name"),
+                         F.trim(F.coalesce(F.get("l", 1), F.lit(""))).alias("seq"),
+                         F.trim(F.coalesce(qual, F.lit(""))).alias("qual"),
+                         F.lit(False).alias("is_sup"))
+
+    whole = records(pieces.where(~F.col("n").isin(1, 3)), F.get("l", 3))
+    heads = pieces.where("n = 3").select("file", "blk", "ord", "l")
+    tails = pieces.where("n = 1").select("file", "blk", "ord", F.col("l")[0].alias("rest"))
+    met = heads.alias("h").join(
+        tails.alias("t"), (F.col("h.file") == F.col("t.file")) & (F.col("h.blk") == F.col("t.blk"))
+        & (F.col("h.ord") + 1 == F.col("t.ord")), "full_outer").select(
+            F.coalesce("h.file", "t.file").alias("file"), F.coalesce("h.blk", "t.blk").alias("blk"),
+            F.coalesce("h.ord", "t.ord").alias("ord"), "l", "rest")
+    inside = met.where("l is not null and rest is not null")
+    # at most one head and one tail of a split are left
+    order = Window.partitionBy("file").orderBy("blk", "ord")
+    edge = (met.where("l is null or rest is null")
+            .withColumn("next", F.lead("rest").over(order)).withColumn("before", F.lag("l").over(order)))
+    apart = edge.where("l is not null").withColumn("rest", F.col("next"))
+    alone = edge.where("l is null and before is null").withColumn(
+        "l", F.array(F.regexp_replace("rest", "^@", "")))         # a name and nothing else
+    split = inside.unionByName(apart.select(*inside.columns)).unionByName(alone.select(*inside.columns))
+    quality = F.when(F.size("l") > 1, F.concat(F.lit("@"), F.col("rest")))
+    return whole.unionByName(records(split, quality)).where("name <> ''")
 
 
 def read_any(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -50,6 +50,41 @@ def test_fastq_over_splits(spark, tmp_path):
     assert [(r.name, r.seq) for r in got] == want
 
 
+@pytest.mark.parametrize("size", ["37", "150", "1500", "100000"])
+def test_fastq_qualities_over_splits(spark, tmp_path, size):
+    import random
+    r = random.Random(int(size))
+    want, text = [], ""
+    for i in range(300):
+        seq = "".join(r.choice("ACGT") for _ in range(r.randint(0 if i % 50 == 3 else 1, 30)))
+        qual = "".join(r.choice("@@I+!") for _ in seq)
+        end = "\r\n" if i % 9 == 0 else "\n"
+        want.append((f"r{i}", seq, qual))
+        text += end.join([f"@r{i}", seq, "+" if i % 2 else f"+r{i}", qual, ""])
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "a.fastq").write_text(text + "\n\n", newline="")
+    (folder / "b.fastq").write_text("@x1\nAC\n+\n@@\n@x2\nGG\n+\n", newline="")   # cut off behind +
+    (folder / "c.fastq").write_text("@y1\nAC\n+\nII\n@y2", newline="")              # a name alone
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = fl.read_fastq(spark, str(folder)).orderBy("file", "ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(x.name, x.seq, x.qual) for x in got] == want + [
+        ("x1", "AC", "@@"), ("x2", "GG", ""), ("y1", "AC", "II"), ("y2", "", "")]
+
+
+def test_whole_fastq_records_are_not_shuffled(spark, tmp_path):
+    p = tmp_path / "c.fastq"
+    p.write_text("".join(f"@r{i}\nACGT\n+\nIIII\n" for i in range(50)))
+    plan = fl.read_fastq(spark, str(p))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+    whole = plan[:plan.index("Join")]                # the first branch of the union
+    assert "Window" not in whole.split("Union")[1].split("Relation")[0]
+
+
 def bgzf(data):
     out = b""
     for k in range(0, len(data), 300):
