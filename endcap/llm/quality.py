@@ -10,7 +10,7 @@ fixed width). Only one small matrix per fold reaches the driver.
 Defined cases: null text is empty; an empty text has all statistics 0 and is scored like
 any other; a null ``doc_id`` has no label and counts as not held out; repeated rows are
 scored each; labels null or outside 0 and 1 are not learned from. Without any learned
-label every score is 0.5. Other columns are not looked at.
+label every score is 0.5. Other columns are not looked at. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from endcap.llm.calibration import Isotonic, isotonic
 
 FEATURES, RIDGE, WIDTH = 384, 1.0, 0.35
 BINS, LOW, HIGH = 2048, -0.5, 1.5
+#: Partitions, and groups of partitions, whose sums one group adds.
+FAN = 256
 
 _UPPER = [range(65, 91)]
 _CLASSES = {
@@ -146,9 +149,13 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def normal_equations(rows: DataFrame, features: Fourier) -> dict[int, np.ndarray]:
-    """Per fold the matrix [Z'Z | Z'y] over rows of x, label and fold."""
+    """Per fold the matrix [Z'Z | Z'y] over rows of x, label and fold.
+
+    Sums of up to ``FAN`` neighbouring partitions are added in one group, then of as many groups.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        node = TaskContext.get().partitionId()
         for b in batches:
             x, y, fold = _matrix(b.column(0)), b.column(1).to_numpy(), b.column(2).to_numpy()
             for f in np.unique(fold):
@@ -158,16 +165,21 @@ def normal_equations(rows: DataFrame, features: Fourier) -> dict[int, np.ndarray
         for f, m in total.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(m), f, np.int32)), pa.array(np.arange(len(m), dtype=np.int32)),
-                 pa.array(list(m), pa.list_(pa.float64()))], ["fold", "i", "m"])
+                 pa.array(np.full(len(m), node, np.int32)), pa.array(list(m), pa.list_(pa.float64()))],
+                ["fold", "i", "node", "m"])
 
     def add(table: pa.Table) -> pa.Table:
         m = _matrix(table["m"]).sum(axis=0)
-        return pa.table({"fold": table["fold"][:1], "i": table["i"][:1],
+        return pa.table({"fold": table["fold"][:1], "i": table["i"][:1], "node": table["node"][:1],
                          "m": pa.array([m], pa.list_(pa.float64()))})
 
-    parts = rows.select("x", "label", "fold").mapInArrow(run, "fold int, i int, m array<double>")
+    schema = "fold int, i int, node int, m array<double>"
+    parts = rows.select("x", "label", "fold").mapInArrow(run, schema)
+    for _ in range(2):
+        parts = parts.withColumn("node", F.floor(F.col("node") / FAN).cast("int")).groupBy(
+            "fold", "i", "node").applyInArrow(add, schema)
     out: dict[int, list] = {}
-    for r in parts.groupBy("fold", "i").applyInArrow(add, "fold int, i int, m array<double>").collect():
+    for r in parts.groupBy("fold", "i").applyInArrow(add, schema).collect():
         out.setdefault(r["fold"], []).append((r["i"], r["m"]))
     return {f: np.array([m for _, m in sorted(v)]) for f, v in out.items()}
 

@@ -104,8 +104,10 @@ def ring_shards(rows: DataFrame, key: str, shards: int, vnodes: int = VNODES,
     """``key``, ``size``, ``text_crc32`` or whatever slim columns ``rows`` has, with ``shard``
     and ``slot`` (gapless from 0 in its shard), which replace columns of these names."""
     points, owner = ring(shards, vnodes)
-    rows = rows.drop("shard", "slot", "_n", "_point", "_arc", "_cell", "_part", "_rank", "_before")
-    names = rows.columns
+    rows = rows.drop("shard", "slot")
+    given = rows.columns
+    names = [f"c{i}" for i in range(len(given))]     # no column of the caller meets one of ours
+    rows, key = rows.toDF(*names), names[given.index(key)]
     # the cells of the ring grow in number with the input, so that no task ranks many rows
     base = durable(rows.withColumn("_n", F.monotonically_increasing_id()))
     total = base.count()
@@ -152,7 +154,7 @@ def ring_shards(rows: DataFrame, key: str, shards: int, vnodes: int = VNODES,
                  pa.array(slot_of[k] + g - first[k])], [*names, "shard", "slot"])
 
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
-    return ranked.mapInArrow(run, f"{schema}, shard int, slot long")
+    return ranked.mapInArrow(run, f"{schema}, shard int, slot long").toDF(*given, "shard", "slot")
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:

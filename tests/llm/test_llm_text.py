@@ -142,6 +142,14 @@ def plain_sum_of_squares(sizes, cap):
     return out, bins
 
 
+def test_shards_keep_columns_of_any_name(spark):
+    names = ["doc_id", "_n", "_point", "_arc", "_cell", "_part", "_rank", "_before", "c0", "size"]
+    rows = spark.createDataFrame([(k, *[f"{k}/{c}" for c in names[1:]]) for k in range(90)], names)
+    got = sharding.ring_shards(rows, "doc_id", 7).toPandas()
+    assert list(got.columns) == [*names, "shard", "slot"]
+    assert all(r[c] == f"{r['doc_id']}/{c}" for _, r in got.iterrows() for c in names[1:])
+
+
 def test_fewest_bins_never_exceed_either_rule():
     r = np.random.default_rng(7)
     for n in (0, 1, 5, 400, 3000):
