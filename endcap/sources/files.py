@@ -5,11 +5,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from endcap.functions.seq import file_format
+from endcap.sources.storage import exists, opened
 
 FILE_SHIFT = 42
 ROW_MASK = (1 << 33) - 1
@@ -132,6 +136,46 @@ def read_contigs(spark: SparkSession, path: str) -> DataFrame:
     return read_fasta(spark, path).select("name", F.upper("seq").alias("seq"))
 
 
+def fetch_contigs(spark: SparkSession, path: str, names: DataFrame | list[str],
+                  index: str | None = None) -> DataFrame:
+    """(name, seq) of named contigs, upper case; ``seq`` is null for names the file lacks.
+
+    With an index (``path`` + ".fai" by default) each task reads the bytes of its contigs and
+    no others. Without one, and for gzip files, whose bytes cannot be sought, the file is scanned.
+    """
+    if isinstance(names, list):
+        names = spark.createDataFrame([(n,) for n in names], "name string")
+    names = names.select("name").distinct()
+    index = index or path + ".fai"
+    if path.endswith(".gz") or not exists(index):
+        return names.join(read_contigs(spark, path), "name", "left")
+    places = (names.join(read_fai(spark, index), "name", "left")
+              .select("name", "length", "offset", "linebases", "linewidth")
+              .repartition("name"))
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with opened(path) as f:
+            for pdf in frames:
+                for r in pdf.itertuples(index=False):
+                    yield pd.DataFrame({"name": [r.name], "seq": [_letters(f, r)]})
+
+    return places.mapInPandas(read, "name string, seq string")
+
+
+def _letters(f, place) -> str | None:
+    """Letters of one contig by its index row."""
+    if pd.isna(place.length):
+        return None
+    n, at, bases, width = (int(x) for x in place[1:])
+    if not n:
+        return ""
+    size = (n - 1) // bases * width + (n - 1) % bases + 1
+    got = f.read_at(size, at).translate(None, b"\r\n").upper().decode()
+    if len(got) != n or ">" in got:
+        raise ValueError(f"the index does not fit the file at {place.name}")
+    return got
+
+
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
     """Known interstitial regions: contig, start, end, label (tab separated)."""
     return (spark.read.schema("contig string, start int, end int, label string")

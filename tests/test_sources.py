@@ -130,6 +130,110 @@ def test_bam(spark, tmp_path):
         read_bam(spark, cut).collect()
 
 
+def bam_file(n, seed, block=300, refs=3):
+    """(bytes, places of the blocks' contents, places and rows of the records)."""
+    import random
+    r = random.Random(seed)
+    data = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", refs)
+    for i in range(refs):
+        data += struct.pack("<i", 6) + f"chr_{i}".encode() + b"\0" + struct.pack("<i", 1 << 20)
+    starts, rows = [], []
+    pos = sorted((r.randrange(refs), r.randrange(60000)) for _ in range(n))
+    for i, (ref, at) in enumerate(pos):
+        seq = "".join(r.choice("ACGT") for _ in range(r.choice([3, 40, 900])))
+        rec = bam_record(f"r{i}", 0, ref, at, 60, [(len(seq), "M")], seq,
+                         "!" * len(seq) if i % 3 else "")
+        tags = b"NMi" + struct.pack("<i", i) + b"XZZab\0" + b"XBBs" + struct.pack("<Ihh", 2, 1, 2)
+        rec = struct.pack("<i", len(rec) - 4 + len(tags)) + rec[4:] + tags
+        starts.append(len(data))
+        rows.append((f"r{i}", f"chr_{ref}", at + 1, seq))
+        data += rec
+    return data, starts, rows
+
+
+def test_bam_over_splits(spark, tmp_path):
+    data, _, want = bam_file(300, 5)
+    p = str(tmp_path / "many.bam")
+    open(p, "wb").write(bgzf(data) + bgzf(b" ")[:0])
+    for size in (0, 97, 1000, 7777):
+        got = read_alignments(spark, "file:" + p, split_bytes=size)
+        assert size == 0 or got.rdd.getNumPartitions() > 8
+        got = got.orderBy("ord").collect()
+        assert [(r.name, r.ref, r.pos, r.seq) for r in got] == want
+        assert len({r.ord for r in got}) == len(got)
+    folder = read_bam(spark, str(tmp_path)).count()
+    assert folder == read_bam(spark, str(tmp_path / "m*.bam")).count() == 300
+
+
+def test_bam_regions_read_fewer_bytes(spark, tmp_path):
+    from endcap.sources import bam
+    data, starts, rows = bam_file(400, 6)
+    p = str(tmp_path / "x.bam")
+    z = bgzf(data)
+    open(p, "wb").write(z)
+    # places of the blocks, then an index with one chunk a record in its smallest bin
+    blocks, at = [], 0
+    while at < len(z):
+        blocks.append(at)
+        at += bam.block_size(z, at)
+    virtual = [blocks[s // 300] << 16 | s % 300 for s in [*starts, len(data) - 1]]
+    index = b"BAI\1" + struct.pack("<i", 3)
+    for ref in range(3):
+        bins = {}
+        for i, (_, name, pos, seq) in enumerate(rows):
+            if name == f"chr_{ref}":
+                lo, hi = pos - 1, pos - 1 + len(seq)
+                number = max(b for b in bam.bins_of(lo, hi) if all(
+                    x in bam.bins_of(y, y + 1) for x in [b] for y in (lo, hi - 1)))
+                bins.setdefault(number, []).append((virtual[i], virtual[i + 1]))
+        index += struct.pack("<i", len(bins))
+        for number, chunks in bins.items():
+            index += struct.pack("<Ii", number, len(chunks))
+            index += b"".join(struct.pack("<QQ", *c) for c in chunks)
+        index += struct.pack("<i", 0)
+    for regions in ("chr_1:20000-30000", "chr_0:1-5000,chr_2:59000-70000", "chr_1", "none"):
+        want = [r for r in rows for name, lo, hi in bam.parsed_regions(regions)
+                if r[1] == name and r[2] - 1 < hi and r[2] - 1 + len(r[3]) > lo]
+        open(p + ".bai", "wb").write(index)
+        got = read_alignments(spark, p, regions=regions).orderBy("ord").collect()
+        assert [(r.name, r.ref, r.pos, r.seq) for r in got] == want, regions
+    ranges = bam.indexed_ranges(p + ".bai", [f"chr_{i}" for i in range(3)],
+                                bam.parsed_regions("chr_1:20000-30000"))
+    assert 0 < sum(e[0] - b[0] for b, e in ranges) < len(z) / 5
+    # without an index the same rows come from a scan; a filter on ref is pushed
+    assert read_alignments(spark, p, regions="chr_1", split_bytes=2000).count() == sum(
+        r[1] == "chr_1" for r in rows)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        got = read_alignments(spark, p).where("ref = 'chr_1'")
+        assert got.count() == sum(r[1] == "chr_1" for r in rows)
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_contigs_by_index(spark, tmp_path):
+    rows = [(i, f"s_chr{i}p", "acgtn" * (37 * i)) for i in range(9)]
+    p = str(tmp_path / "ref.fa")
+    lines = "".join(f">{n}\n" + "".join(s[k:k + 60] + "\n" for k in range(0, len(s), 60))
+                    for _, n, s in rows)
+    open(p, "w").write(lines)
+    ask = ["s_chr3p", "s_chr8p", "s_chr0p", "s_nonep"]
+    want = {n: s.upper() for _, n, s in rows if n in ask} | {"s_nonep": None}
+    scanned = {r.name: r.seq for r in fl.fetch_contigs(spark, p, ask).collect()}
+    contigs = spark.createDataFrame(rows, "ord long, name string, seq string")
+    index = rf.fasta_index(contigs).orderBy("ord").collect()
+    open(p + ".fai", "w").write("".join(
+        f"{r.name}\t{r.length}\t{r.offset}\t{r.linebases}\t{r.linewidth}\n" for r in index))
+    got = {r.name: r.seq for r in fl.fetch_contigs(spark, "file:" + p, ask).collect()}
+    assert got == scanned == want
+    with open(p, "r+b") as f:                         # bytes of other contigs are not looked at
+        f.seek(index[5].offset)
+        f.write(b">>>>>>>>")
+    assert {r.name: r.seq for r in fl.fetch_contigs(spark, p, ask).collect()} == want
+    with pytest.raises(Exception, match="does not fit"):
+        fl.fetch_contigs(spark, p, ["s_chr5p"]).collect()
+
+
 def test_sam_and_index(spark, tmp_path):
     p = str(tmp_path / "x.sam")
     open(p, "w").write("@HD\tVN:1.6\nq\t16\ts_chr1q\t5\t60\t4M\t*\t0\t0\tACGT\tIIII\n")
