@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from endcap.config import Settings
 from endcap.functions.batch import struct_udf
+from endcap.functions.rank import running_total
 from endcap.functions.seq import wrapped_lines
 from endcap.motifs import MotifTable
 from endcap.operators.signal import terminal_length
@@ -89,14 +89,14 @@ def fasta_index(contigs: DataFrame, width: int = LINE_WIDTH) -> DataFrame:
     """Index of the contigs written as wrapped FASTA in order of ``ord``: name, length, offset
     of the first letter, letters and bytes of a line, as in an index file.
 
-    Contigs of a reference are few rows of metadata; the sequences are not moved.
+    Offsets are running sums over ranges of ``ord``, so many contigs need no single task.
     """
     n = F.length("seq").cast("long")
     head = F.octet_length("name") + 2
     lines = F.ceil(n / width)
     rows = contigs.select("ord", "name", n.alias("length"), head.cast("long").alias("_head"),
                           (head + n + lines).cast("long").alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("ord", "name", "length", (before - F.col("_size") + F.col("_head"))
-                       .alias("offset"), F.lit(width).alias("linebases"),
-                       F.lit(width + 1).alias("linewidth"))
+    before = running_total(rows, [], "ord", "_size", F.floor(F.col("ord") / 1024), "_end")
+    return rows.join(before.select("ord", "_end"), "ord").select(
+        "ord", "name", "length", (F.col("_end") - F.col("_size") + F.col("_head")).alias("offset"),
+        F.lit(width).alias("linebases"), F.lit(width + 1).alias("linewidth"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from endcap.config import BLANK, UNANCHORED, Settings
+from endcap.functions.durable import durable
 from endcap.operators.alleles import ORDER, order_key, sample_key
 
 SHORT_TL = 1000
@@ -211,3 +212,19 @@ def cluster_order(members: DataFrame) -> DataFrame:
     """Clusters of (cid, rid), largest first, then by their least members: cid, n, least_rid."""
     size = members.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("least_rid"))
     return size.orderBy(F.col("n").desc(), "least_rid")
+
+
+def cluster_places(members: DataFrame) -> DataFrame:
+    """Clusters with their ``place`` (from 1) in that order.
+
+    The rows are parted by ranges of that order, so no size is one task's; a place is the number
+    of rows in the ranges before, and the rank in its own.
+    """
+    size = members.groupBy("cid").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("least_rid"))
+    listing = (F.col("n").desc(), F.col("least_rid").asc(), F.col("cid").asc())
+    ranged = durable(size.repartitionByRange(*listing).withColumn("_p", F.spark_partition_id()))
+    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))       # a row per range
+    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*listing))
+    return (ranged.withColumn("_rank", rank).join(before, "_p")
+            .select("cid", "n", "least_rid", (F.col("_b") + F.col("_rank")).alias("place")))

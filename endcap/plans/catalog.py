@@ -11,7 +11,7 @@ from endcap import motifs as mt
 from endcap.config import Settings
 from endcap.functions import seq as sq
 from endcap.functions.batch import struct_udf
-from endcap.functions.durable import durable
+from endcap.functions.durable import durable, shared_folder
 from endcap.functions.rank import delta_groups, interval_groups, n50
 from endcap.operators import alleles as al
 from endcap.operators import anchors as an
@@ -25,6 +25,7 @@ from endcap.operators import scan as sc
 from endcap.operators import signal as sg
 from endcap.operators.trimming import trim_matches
 from endcap.plans import calling
+from endcap.sources import files as fl
 from endcap.sources import planted
 
 SETTINGS = Settings()
@@ -472,6 +473,69 @@ def reference_arms(spark, d):
     return arms.select("name", "arm", "tl")
 
 
+# ---- files: written from the tables, read again ----------------------------------------------
+
+def _lengths_and_sums(df: DataFrame) -> DataFrame:
+    return df.select("name", F.length("seq").alias("len"), F.md5("seq").alias("seq_md5"),
+                     F.length("qual").alias("qual_len"), F.md5("qual").alias("qual_md5"))
+
+
+def fasta_records(spark, d):
+    """Reads as FASTA text with wrapped lines, read again."""
+    path = shared_folder(spark)
+    r = planted.reads(spark, d).where("seq <> ''")
+    r.select(rf.wrapped_record(F.concat_ws(" ", F.col("rid").cast("string"), "sample"),
+                               F.col("seq"))).write.text(path)
+    return _lengths_and_sums(fl.read_any(spark, [path + "/*.txt"], "fasta")).drop(
+        "qual_len", "qual_md5")
+
+
+def fastq_records(spark, d):
+    """Reads as FASTQ text, read again; a quarter of the quality lines starts with '@'."""
+    path = shared_folder(spark)
+    r = planted.reads(spark, d).where("seq <> ''")
+    qual = F.translate("seq", "ACGT", "@+I!")
+    r.select(F.concat_ws("\n", F.concat(F.lit("@"), F.col("rid").cast("string")), "seq", F.lit("+"),
+                         qual)).write.text(path)
+    return _lengths_and_sums(fl.read_any(spark, [path + "/*.txt"], "fastq"))
+
+
+def fasta_index(spark, d):
+    """Index of all reads as one wrapped FASTA in order of ``rid``."""
+    r = planted.reads(spark, d).select(F.col("rid").alias("ord"), F.col("rid").cast("string")
+                                       .alias("name"), "seq")
+    return rf.fasta_index(r).select("name", "length", "offset", "linebases", "linewidth")
+
+
+def stage_lengths(spark, d):
+    """Read lengths of the stages, written and read again."""
+    path = shared_folder(spark)
+    r = planted.reads(spark, d)
+    rp.write_lengths(r, sc.telomere_reads(r.withColumn("length", F.length("seq")), motif_table(),
+                                          SETTINGS), planted.allele_reads(spark, d), path)
+    return (spark.read.parquet(path).groupBy("series", "length")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def allele_tsv_back(spark, d):
+    """The allele TSV, written and read again: its read rows."""
+    path = shared_folder(spark)
+    h, r = heads_and_reads(spark, d)
+    rp.write_allele_tsv(h.withColumn("tvr_consensus", F.repeat(F.lit("D"), F.col("tvr_len"))), r,
+                        path, SETTINGS)
+    heads, reads = fl.read_allele_tsv(spark, path)
+    return (reads.join(heads.select("aid", "tvr_len", "n_reads", F.length("tvr_consensus")
+                                    .alias("cons_len")), "aid")
+            .select("aid", "name", "tl", "rlen", "mapq", "tvr_len", "n_reads", "cons_len"))
+
+
+def cluster_listing(spark, d):
+    """Place of every planted cluster in the listing: largest first, then by least read."""
+    r = planted.reads(spark, d).select(
+        F.concat_ws("/", "sample", F.col("al").cast("string")).alias("cid"), "rid")
+    return rp.cluster_places(r)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     reads_scan_stats, tel_read_filter, read_dedupe_last, reverse_complement, downsample,
     motif_hits, motif_hits_nonoverlap, motif_hits_final, canonical_bases, density_window,
@@ -483,4 +547,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     match_trimming, allele_rows, tl_estimators, near_alleles, allele_collapse,
     allele_filter_reasons, report_classes, final_order, read_n50, summary_metrics,
     readlen_histogram, atl_by_arm, allele_tsv_rows, time_groups, span_groups, ref_mask,
-    reference_arms)}
+    reference_arms, fasta_records, fastq_records, fasta_index, stage_lengths, allele_tsv_back,
+    cluster_listing)}

@@ -485,6 +485,35 @@ m as (
 select rid, md5(m) as masked_md5, greatest((length(m) + 59) // 60, 1) as n_lines,
   md5(regexp_replace(regexp_replace(m, '(.{{60}})', '\\1|', 'g'), '\\|$', '')) as lines_md5
 from m"""
+    named = f"with {READS}, r as (select * from reads where seq <> '')"
+    q["fasta_records"] = named + """
+select cast(rid as varchar) || ' ' || sample as name, length(seq) as len, md5(seq) as seq_md5 from r"""
+    q["fastq_records"] = named + """
+select cast(rid as varchar) as name, length(seq) as len, md5(seq) as seq_md5, length(seq) as qual_len,
+  md5(translate(seq, 'ACGT', '@+I!')) as qual_md5 from r"""
+    q["fasta_index"] = f"""
+with {READS}, s as (
+  select rid, cast(rid as varchar) as name, length(seq) as length,
+    length(cast(rid as varchar)) + 2 as head, (length(seq) + 59) // 60 as n_lines from reads)
+select name, length, cast(head + coalesce(sum(head + length + n_lines) over (
+    order by rid rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset",
+  60 as linebases, 61 as linewidth from s"""
+    q["stage_lengths"] = f"""
+with {READS}, c as (select *, length(seq) as length, {COUNTS} from reads),
+every as (
+  select 'all' as series, length from c
+  union all select 'tel', length from c where length > 0 and not is_sup and (n_fwd >= 8 or n_rev >= 8)
+  union all select 'final', rlen from ({planted.oracle(planted.ALLELE_READS)}))
+select series, length, count(*) as n from every group by 1, 2"""
+    q["allele_tsv_back"] = ALLELES + """
+select cast(aid as varchar) as aid, r.name, r.tl, r.rlen, r.mapq, a.tvr_len,
+  count(*) over (partition by aid) as n_reads, a.tvr_len as cons_len
+from allele a join aread r using (aid)"""
+    q["cluster_listing"] = f"""
+with {READS}, c as (
+  select sample || '/' || cast(al as varchar) as cid, count(*) as n, min(rid) as least_rid
+  from reads group by 1)
+select *, row_number() over (order by n desc, least_rid) as place from c"""
     # planted truth: what was built into the reads, without any signal or alignment
     q["read_filter_flags"] = TRUTH + """
 select sample, count(case when k23 = 7 then 1 end) as short_tel, cast(0 as bigint) as nontel,

@@ -89,19 +89,23 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     return whole.unionByName(records(split, quality)).where("name <> ''")
 
 
-def read_any(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Reads of several files of any known format; ``ord`` follows the order of the paths."""
+def read_any(spark: SparkSession, paths: list[str], kind: str | None = None) -> DataFrame:
+    """Reads of several files; ``ord`` follows the order of the paths.
+
+    The format follows from each path's ending unless ``kind`` (fasta, fastq or bam) names it.
+    """
     from endcap.sources.bam import read_bam
     check_inputs(paths)
     kinds = spark.createDataFrame([(p,) for p in paths], "path string").select(
         "path", file_format(F.col("path")).alias("kind"))
-    kind = {r.path: r.kind for r in kinds.collect()}      # one row per given path
+    found = {p: kind for p in paths} if kind else {
+        r.path: r.kind for r in kinds.collect()}          # one row per given path
     readers = {"fasta": read_fasta, "fastq": read_fastq, "bam": read_bam}
     out = None
     for no, path in enumerate(paths):
-        if kind[path] not in readers:
-            raise ValueError(f"cannot read {path}: format {kind[path]} is not supported")
-        part = readers[kind[path]](spark, path).select(
+        if found[path] not in readers:
+            raise ValueError(f"cannot read {path}: format {found[path]} is not supported")
+        part = readers[found[path]](spark, path).select(
             "file", "ord", "name", "seq", "qual", "is_sup")
         part = part.withColumn("ord", F.col("ord") + F.lit(no << FILE_SHIFT))
         out = part if out is None else out.unionByName(part)

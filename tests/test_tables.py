@@ -238,3 +238,16 @@ def test_reports_without_alleles(spark):
     reads = spark.createDataFrame([], "aid string, tl int, rlen int, name string, mapq int")
     got = rp.summary(heads, reads, S).first()
     assert got.num_alleles == 0 and got.tl_mean is None and got.telread_n50_length is None
+
+
+def test_cluster_places(spark):
+    import random
+    r = random.Random(4)
+    rows = [(f"c{r.randrange(60)}", i) for i in range(150)] + [(f"one{i}", 1000 + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "cid string, rid long")
+    members = {}
+    for cid, rid in rows:
+        members.setdefault(cid, []).append(rid)
+    want = sorted(members, key=lambda c: (-len(members[c]), min(members[c])))
+    got = {x.cid: x.place for x in rp.cluster_places(df).collect()}
+    assert got == {c: i + 1 for i, c in enumerate(want)}
