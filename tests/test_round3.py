@@ -5,8 +5,10 @@ import re
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from endcap import motifs as mt
+from endcap.functions.ship import ship
 from endcap.operators import hits as ht
 from endcap.operators import signal as sg
 
@@ -47,3 +49,14 @@ def test_smoothing_is_the_periodic_transform():
     low, high = sg.decompose(x)[-1], np.append(x, x[-1])[taps] @ sg.DB4_HIGH
     assert np.array_equal(low, high)
     assert np.allclose(sg.recompose(sg.decompose(x))[:1187], x)
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    ship(spark)
+    rows = spark.range(0, 4000, 1, 1).withColumn("s", F.repeat(F.lit("ACGTACGT"), 1000))
+
+    @F.pandas_udf("long")
+    def letters(col: pd.Series) -> pd.Series:
+        return pd.Series([col.str.len().sum()] * len(col))
+
+    assert rows.select(letters("s").alias("n")).agg(F.max("n")).first()[0] < 5_000_000
