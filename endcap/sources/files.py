@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,21 +47,56 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
                       F.lit("").alias("qual"), F.lit(False).alias("is_sup")).where("name <> ''")
 
 
+def _lines(text: str) -> Column:
+    """The lines of a text; a pattern is needed only where it holds carriage returns."""
+    return F.when(F.contains(text, F.lit("\r")), F.split(text, "\r?\n")).otherwise(F.split(text, "\n"))
+
+
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of a task in their order as (file, blk, ord, head, rest): a piece of three lines
+    and one of one line right behind it are a row, other pieces a row of their own."""
+    last = None
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        names = ["file", "blk", "ord", "head", "rest"]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names)
+
+    for batch in batches:
+        found = []
+        for file, blk, no, value, n in zip(*(c.to_pylist() for c in batch.columns)):
+            behind = last is not None and last[:3] == (file, blk, no - 1)
+            if n == 1 and behind:
+                found.append((*last, value))
+                last = None
+                continue
+            if last is not None:
+                found.append((*last, None))
+            last = (file, blk, no, value) if n == 3 else None
+            if n == 1:
+                found.append((file, blk, no, None, value))
+        yield rows(found)
+    if last is not None:
+        yield rows([(*last, None)])
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """Strict four-line FASTQ records. Splittable: records part at a line starting with '@'.
 
     A quality line may start so too. Then the record comes as two pieces behind one another,
-    of three lines and of one; only such pieces are shuffled. They meet by their row number,
-    and where a split ends between them by their order among the few pieces left.
+    of three lines and of one. They are put together by the task that reads both; where a split
+    ends between them, by their order among the few pieces left.
     """
+    text = F.when(F.endswith("value", F.lit("\n")) | F.endswith("value", F.lit("\r")),
+                  F.rtrim("value", F.lit("\r\n"))).otherwise(F.col("value"))
     raw = spark.read.option("lineSep", "\n@").text(path).select(
-        F.regexp_replace("value", r"[\r\n]+\z", "").alias("value"),
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("blk"),
-        _position().alias("ord"))
+        text.alias("value"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("blk"), _position().alias("ord"))
     # the first record's own '@' is still there
-    first = (F.col("blk") == 0) & F.col("value").rlike(r"^@[^\n]*\n")
-    lines = F.split(F.when(first, F.substring("value", 2, 1 << 30)).otherwise(F.col("value")), r"\r?\n")
-    pieces = raw.select("file", "blk", "ord", lines.alias("l"), F.size(lines).alias("n"))
+    first = (F.col("blk") == 0) & F.startswith("value", F.lit("@")) & F.contains("value", F.lit("\n"))
+    pieces = raw.withColumn("value", F.when(first, F.substring("value", 2, 1 << 30)).otherwise(
+        F.col("value"))).select("file", "blk", "ord", "value", _lines("value").alias("l"))
 
     def records(df: DataFrame, qual: Column) -> DataFrame:
         return df.select("file", "ord", _name(F.col("l")[0]).alias("name"),
@@ -68,21 +104,21 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
                          F.trim(F.coalesce(qual, F.lit(""))).alias("qual"),
                          F.lit(False).alias("is_sup"))
 
-    whole = records(pieces.where(~F.col("n").isin(1, 3)), F.get("l", 3))
-    heads = pieces.where("n = 3").select("file", "blk", "ord", "l")
-    tails = pieces.where("n = 1").select("file", "blk", "ord", F.col("l")[0].alias("rest"))
-    met = heads.alias("h").join(
-        tails.alias("t"), (F.col("h.file") == F.col("t.file")) & (F.col("h.blk") == F.col("t.blk"))
-        & (F.col("h.ord") + 1 == F.col("t.ord")), "full_outer").select(
-            F.coalesce("h.file", "t.file").alias("file"), F.coalesce("h.blk", "t.blk").alias("blk"),
-            F.coalesce("h.ord", "t.ord").alias("ord"), "l", "rest")
+    parts = F.size("l").isin(1, 3)
+    whole = records(pieces.where(~parts), F.get("l", 3))
+    met = (pieces.where(parts).select("file", "blk", "ord", "value", F.size("l").alias("n"))
+           .mapInArrow(_put_together, "file string, blk long, ord long, head string, rest string")
+           .select("file", "blk", "ord", _lines("head").alias("l"), "rest"))
     inside = met.where("l is not null and rest is not null")
-    # at most one head and one tail of a split are left
+    # at most one head and one tail of a split are left; a head meets the tail numbered next
     order = Window.partitionBy("file").orderBy("blk", "ord")
-    edge = (met.where("l is null or rest is null")
-            .withColumn("next", F.lead("rest").over(order)).withColumn("before", F.lag("l").over(order)))
-    apart = edge.where("l is not null").withColumn("rest", F.col("next"))
-    alone = edge.where("l is null and before is null").withColumn(
+    edge = met.where("l is null or rest is null").withColumn("no", F.row_number().over(order))
+    heads = edge.where("l is not null").drop("rest")
+    tails = edge.where("l is null").drop("l")
+    apart = heads.join(tails.select("file", (F.col("no") - 1).alias("no"), "rest"),
+                       ["file", "no"], "left")
+    alone = tails.join(heads.select("file", (F.col("no") + 1).alias("no")), ["file", "no"],
+                       "left_anti").withColumn(
         "l", F.array(F.regexp_replace("rest", "^@", "")))         # a name and nothing else
     split = inside.unionByName(apart.select(*inside.columns)).unionByName(alone.select(*inside.columns))
     quality = F.when(F.size("l") > 1, F.concat(F.lit("@"), F.col("rest")))

@@ -85,6 +85,15 @@ def test_whole_fastq_records_are_not_shuffled(spark, tmp_path):
     assert "Window" not in whole.split("Union")[1].split("Relation")[0]
 
 
+def test_fastq_pieces_are_joined_by_the_task_that_reads_them(spark, tmp_path):
+    p = tmp_path / "d.fastq"
+    p.write_text("".join(f"@r{i}\nACGT\n+\n{'@' if i % 3 else 'I'}II{i}\n" for i in range(40)))
+    got = fl.read_fastq(spark, str(p))
+    assert "FullOuter" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.name, r.qual) for r in got.orderBy("ord").collect()] == [
+        (f"r{i}", f"{'@' if i % 3 else 'I'}II{i}") for i in range(40)]
+
+
 def bgzf(data):
     out = b""
     for k in range(0, len(data), 300):
