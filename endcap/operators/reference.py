@@ -10,7 +10,7 @@ from endcap.functions.batch import struct_udf
 from endcap.functions.rank import running_total
 from endcap.functions.seq import wrapped_lines
 from endcap.motifs import MotifTable
-from endcap.operators.signal import terminal_length
+from endcap.operators.signal import telomere_regions, terminal_of
 
 # Kept end of a contig, searched end, line width, the appended telomere.
 ARM_BP = 500_000
@@ -36,14 +36,20 @@ def contig_arms(contigs: DataFrame) -> DataFrame:
 
 
 def arm_lengths(arms: DataFrame, motifs: MotifTable, settings: Settings) -> DataFrame:
-    """Add the telomere length ``tl`` measured in the outer stretch of each arm."""
+    """Add the telomere length ``tl`` measured in the outer stretch of each arm.
+
+    Both arms of a contig no longer than that stretch have one signal, found once.
+    """
     words, words_rc = motifs.kmers, motifs.kmers_rc
+    last: dict[str, list] = {}
 
     def one(arm: str, seq: str) -> tuple:
         left = arm == "p"
         part = seq[:SEARCH_BP] if left else seq[-SEARCH_BP:]
-        return (terminal_length(part, words, words_rc, settings, settings.min_tel_score,
-                                at_left=left)[0],)
+        if part not in last:
+            last.clear()
+            last[part] = telomere_regions(part, words, words_rc, settings)
+        return (terminal_of(last[part], settings, settings.min_tel_score, at_left=left)[0],)
 
     return arms.withColumn("tl", struct_udf(one, "tl int")("arm", "seq")["tl"])
 

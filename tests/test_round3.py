@@ -60,3 +60,25 @@ def test_batches_for_python_are_bounded_in_bytes(spark):
         return pd.Series([col.str.len().sum()] * len(col))
 
     assert rows.select(letters("s").alias("n")).agg(F.max("n")).first()[0] < 5_000_000
+
+
+def test_arms_of_a_short_contig_share_one_signal(spark, monkeypatch):
+    from endcap.config import Settings
+    from endcap.operators import reference as rf
+    from endcap.operators.signal import terminal_length
+    seen, plain = spark.sparkContext.accumulator(0), rf.telomere_regions
+
+    def counted(*args):
+        seen.add(1)
+        return plain(*args)
+
+    monkeypatch.setattr(rf, "telomere_regions", counted)
+    m, s = mt.human("ont"), Settings()
+    seqs = {f"c{i}": "CCCTAA" * (60 + 10 * i) + "ACGTTGCATT" * 150 + "TTAGGG" * 90 for i in range(6)}
+    contigs = spark.createDataFrame(list(seqs.items()), "name string, seq string")
+    got = {(r.name, r.arm): r.tl for r in rf.arm_lengths(rf.contig_arms(contigs), m, s).collect()}
+    assert seen.value == 6
+    assert got == {(n, arm): terminal_length(q, m.kmers, m.kmers_rc, s, s.min_tel_score,
+                                             at_left=arm == "p")[0]
+                   for n, q in seqs.items() for arm in "pq"}
+    assert min(got.values()) > 300
