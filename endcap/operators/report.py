@@ -141,9 +141,9 @@ def allele_table(heads: DataFrame, reads: DataFrame, settings: Settings) -> Data
             x["tl"].alias("tl"), x["rlen"].cast("string").alias("a"),
             x["mapq"].cast("string").alias("b"), x["name"].alias("name"), x.alias("x")))),
         lambda y: y["x"])
-    rows = (order_key(heads).join(lists, "aid")
-            .withColumn("r", F.when(F.size("merged") > 1, as_text).otherwise(F.array_sort("r")))
-            .orderBy(*sample_key(heads), *ORDER))
+    # ranges are found by a pass of its own over the rows, so lists are sorted after that
+    rows = (order_key(heads).join(lists, "aid").orderBy(*sample_key(heads), *ORDER)
+            .withColumn("r", F.when(F.size("merged") > 1, as_text).otherwise(F.array_sort("r"))))
     ids = F.transform("merged", lambda x: x.cast("string"))
     mark = F.when(F.col("is_interstitial"), "i").otherwise("")
     return rows.select(

@@ -241,8 +241,12 @@ def read_allele_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     reads = base.select("aid", F.inline("r")).select(
         "aid", F.col("tl").cast("int").alias("tl"), F.col("rlen").cast("int").alias("rlen"),
         "name", F.col("mapq").cast("int").alias("mapq"))
-    count = reads.groupBy("aid").agg(F.count(F.lit(1)).alias("n_reads"))
-    return base.drop("r").dropDuplicates(["aid"]).join(count, "aid"), reads
+    # a row's cells tell its number of reads: no second pass over the file, and no row per read
+    rows = base.withColumn("n", F.coalesce(F.size("r"), F.lit(0)).cast("long")).where("n > 0")
+    heads = rows.groupBy("aid").agg(
+        *[F.first(c).alias(c) for c in base.columns if c not in ("aid", "r")],
+        F.sum("n").alias("n_reads"))
+    return heads, reads
 
 
 def write_fasta(records: DataFrame, path: str, gzip: bool = True) -> None:
