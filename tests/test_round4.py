@@ -1,6 +1,11 @@
+from dataclasses import replace
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from endcap.config import Settings
 from endcap.functions.durable import durable
+from endcap.operators import alleles as al
 
 
 def test_size_of_a_checkpoint_is_that_of_its_files(spark):
@@ -19,3 +24,47 @@ def test_checkpoint_without_rows(spark):
     none = durable(spark.range(5).where("id > 9").select("id", F.lit("a").alias("s")))
     assert none.isEmpty() and none.columns == ["id", "s"]
     assert none.join(spark.range(5), "id", "right").count() == 5
+
+
+def heads(spark, rows):
+    return spark.createDataFrame(rows, "aid long, chrs array<string>, positions array<int>, ref_samps "
+                                 "array<string>, tvr_consensus string, tl int, n_reads long")
+
+
+def many_heads(spark, n):
+    rng = np.random.default_rng(5)
+    units = ["DDDDDD", "FFFFFF", "LLLLLL"]
+    return heads(spark, [
+        (i, [None if i % 41 == 0 else f"chr{i % 2 + 1}q"], [None if i % 37 == 0 else int(rng.integers(0, 9000))],
+         ["s"], "" if i % 19 == 0 else units[i % 3] * (4 + int(rng.integers(0, 4))) + "C" * int(rng.integers(0, 9)),
+         None if i % 29 == 0 else int(rng.integers(0, 60)), int(rng.integers(1, 9))) for i in range(n)])
+
+
+def roots(df, settings):
+    return sorted(map(tuple, al.merge_near(df, settings).collect()), key=str)
+
+
+def test_merging_in_one_task_and_in_rounds_agree(spark):
+    one = many_heads(spark, 150)
+    twice = one.unionByName(one.where("aid % 5 = 0"))       # rows that come twice
+    got = roots(twice, Settings())
+    assert got == roots(twice, replace(Settings(), alleles_in_task=0))
+    assert {a for a, _ in got} == set(range(150)) and sum(a != r for a, r in got) > 30
+
+
+def test_pairs_of_alleles_are_not_listed_where_a_task_holds_them(spark, monkeypatch):
+    """Alleles at one place have about 45,000 pairs; what is written must follow the alleles."""
+    written = []
+
+    def counted(f):
+        def run(df):
+            out = f(df)
+            written.append(out.count())
+            return out
+        return run
+
+    for name in {"durable", "stored"} & set(dir(al)):
+        monkeypatch.setattr(al, name, counted(getattr(al, name)))
+    df = heads(spark, [(i, ["chr1q"], [i], ["s"], "DDDDDD" * 5 + "C" * (i % 7), 50, 1) for i in range(300)])
+    assert len({r for _, r in roots(df, Settings())}) < 100
+    assert max(written) <= 2 * 300
