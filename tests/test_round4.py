@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from endcap.config import Settings
 from endcap.functions.durable import durable
 from endcap.operators import alleles as al
+from endcap.operators import msa
 
 
 def test_size_of_a_checkpoint_is_that_of_its_files(spark):
@@ -68,3 +69,23 @@ def test_pairs_of_alleles_are_not_listed_where_a_task_holds_them(spark, monkeypa
     df = heads(spark, [(i, ["chr1q"], [i], ["s"], "DDDDDD" * 5 + "C" * (i % 7), 50, 1) for i in range(300)])
     assert len({r for _, r in roots(df, Settings())}) < 100
     assert max(written) <= 2 * 300
+
+
+def test_choices_of_long_alignments_are_kept_in_parts(monkeypatch):
+    rng = np.random.default_rng(8)
+    a, b = ("".join(rng.choice(list("ACDEF"), 2500)) for _ in range(2))
+    table = msa.score_table("C", refine=True)
+    want = msa._banded([a, a], [b, b[:900]], table, 2500)
+    made = []
+
+    def zeros(shape, *args, **kinds):
+        out = np.empty(shape, *args, **kinds)
+        out.fill(0)
+        made.append(out.nbytes)
+        return out
+
+    monkeypatch.setattr(msa, "TRACE_BYTES", 1 << 16)
+    monkeypatch.setattr(msa.np, "zeros", zeros)
+    got = msa._banded([a, a], [b, b[:900]], table, 2500)
+    assert got[0] == want[0] and list(got[1]) == list(want[1])
+    assert max(made) < 5 << 20          # all choices at once are 25 MB
